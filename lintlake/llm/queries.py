@@ -30,6 +30,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .entropy_mix import entropy_mix
 

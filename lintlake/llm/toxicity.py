@@ -119,7 +119,7 @@ class Restorer:
         """The words that a token in lower case may be: without the marks around it, and restored if it looks disguised."""
         plain = word.strip(MARKS)
         out = (plain,) if plain else ()
-        inner = word.strip(OUTER)
+        inner = ENDS.sub("", word.strip(OUTER)).strip(OUTER)
         if inner and DISGUISED.search(inner):
             for restored in (self.decode(squeeze(inner)), self.decode(squeeze(inner), keep=True)):
                 if restored and restored not in out:
@@ -131,6 +131,8 @@ MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»
 OUTER = "".join(c for c in MARKS if c not in LEET) + "".join(c for c in "!#%&+(<|")
 #: a letter and an imitation or a mark inside, or a stretched letter
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£#%&]|[0-9@$!|+(<€£#%&][^\w\s]*[^\W\d_]|[^\W\d_][._*~^-]+[^\W\d_]|([^\W\d_])\1\1")
+#: a mark twice or more at the end of a token is an ornament
+ENDS = re.compile(r"[.,;:]?([^\w\s])\1+[.,;:]?\Z")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ \t._*~-]{1,2}(?:[^\W_]|[@$!|+])){3,}(?!\S)")
 
 
