@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import bucket_of, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import THRESHOLD, score_quality
 
