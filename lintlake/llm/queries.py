@@ -55,6 +55,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, written as transcripts that miss a quarter of their markers, and parsed back into turns."""
+    from .chat import as_transcript, parse
+
+    return parse(as_transcript(table(spark, sf_dir, "conversations")), role="role")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
