@@ -11,6 +11,7 @@ sort. Each row then finds its place by its rank.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from .common import materialise
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 200_000  #: words whose ids a worker keeps; beyond that it starts anew
+CACHED_WORDS = 200_000  #: words whose ids a worker keeps, and as many of the generation before
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -34,24 +35,73 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts with any other character go to the tokenizer itself: white space, case and normal forms of those are its own business.
+PLAIN = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-\\u012f\\u0132-\\u024f\\u2010-\\u2027\\u20ac]|<\\|")
+#: The vocabulary's own rule for where words are cut.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def piece_encoder(path: str):
+    """word piece -> its ids as bytes. The merges run as ranks in a byte-pair encoder, where the byte 255, which no UTF-8 text holds, ends a word."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocab, ends = byte_letters(), model["vocab"], model["end_of_word_suffix"]
+    ranks, ids = {}, []
+    for c, b in letters.items():
+        ranks[bytes([b])], _ = len(ids), ids.append(vocab[c])
+    ranks[b"\xff"] = ranks.get(b"\xff", len(ids))
+    for c, b in letters.items():
+        ranks[bytes([b, 255])], _ = len(ids), ids.append(vocab[c + ends])
+    for m in model["merges"]:
+        token = "".join(m if isinstance(m, list) else m.split(" "))
+        last = token.endswith(ends)
+        key = bytes(letters[c] for c in (token[: -len(ends)] if last else token)) + b"\xff" * last
+        if key not in ranks:
+            ranks[key], _ = len(ids), ids.append(vocab[token])
+    core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    as_bytes = [int(i).to_bytes(4, "little") for i in ids]
+    return lambda piece: b"".join([as_bytes[r] for r in core.encode_single_piece(piece.encode() + b"\xff")])
+
+
 def word_encoder(path: str):
-    """text -> its ids as little-endian 32-bit bytes. The vocabulary drops white space and never joins across it, so words are encoded once and kept."""
-    from tokenizers import Tokenizer
+    """text -> its ids as little-endian 32-bit bytes, just those that the tokenizer gives.
+
+    The vocabulary drops white space and never joins across it, so words are encoded once and kept, as many as CACHED_WORDS.
+    """
+    import regex
 
-    tok = Tokenizer.from_file(path)
+    one, cut = piece_encoder(path), regex.compile(CUT).findall
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}  # the generation before, from which words that come again move on
+    whole = None
 
     def encode(text: str) -> bytes:
-        words = text.split()
+        nonlocal known, before, whole
+        if PLAIN.search(text):
+            if whole is None:
+                from tokenizers import Tokenizer
+
+                whole = Tokenizer.from_file(path)
+            return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = text.lower().split()
         parts = list(map(known.get, words))
         if None in parts:
             if len(known) > CACHED_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for i in range(0, len(new), 1024):
-                for w, e in zip(new[i : i + 1024], tok.encode_batch_fast(new[i : i + 1024], add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            parts = list(map(known.__getitem__, words))
+                known, before = {}, known
+            for w in {w for w, ids in zip(words, parts, strict=True) if ids is None}:
+                known[w] = before.get(w) or (one(w) if w.isalpha() else b"".join(map(one, cut(w))))
+            parts = [known[w] if ids is None else ids for w, ids in zip(words, parts, strict=True)]
         return b"".join(parts)
 
     return encode
@@ -168,4 +218,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "
     Null and empty texts hold the end id alone. Repeated rows are packed as often as they come. A null key is kept. An empty
     table gives no rows. Columns other than key and text are not read.
     """
-    return pack(pieces(docs, capacity, tokenizer, text=text, key=key), capacity, (key, "piece"))
+    return pack(materialise(pieces(docs, capacity, tokenizer, text=text, key=key), "pieces"), capacity, (key, "piece"))
