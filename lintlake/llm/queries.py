@@ -62,6 +62,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(as_transcript(table(spark, sf_dir, "conversations")), role="role")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
