@@ -62,6 +62,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(as_transcript(table(spark, sf_dir, "conversations")), role="role")
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among images drawn from all rows of embeddings, every tenth with a cropped and dimmed copy."""
+    from .common import materialise
+    from .media import copy_classes, rendered
+
+    return copy_classes(materialise(rendered(table(spark, sf_dir, "embeddings")), "media"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import pseudo_likelihood
 
