@@ -24,7 +24,8 @@ from .common import bucket_of, materialise
 MAX_LABELLED = 30_000  #: labelled rows that the classifier is fitted on, about; counts of characters cover all rows
 PREFIXES = range(3, 8)  #: lengths of the word beginnings that are features
 MIN_TOXIC_DOCS = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000  #: tokens whose weight a worker keeps
+FLUSH = 150_000  #: features that a worker counts before it hands them on
 THRESHOLD = 0.5
 
 #: What a shown character may stand for, besides itself. Fixed values.
@@ -81,7 +82,7 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.table = symbol_table()
-        self.token = lru_cache(CACHED_WORDS // 3)(self._token)
+        self.restored = lru_cache(20_000)(self._restored)
 
     def symbol(self, c: str) -> int:
         return int(self.table[min(ord(c), 0xFFFF)])
@@ -115,15 +116,19 @@ class Restorer:
             out.append(letter)
         return "".join(reversed(out))
 
-    def _token(self, word: str) -> tuple[str, ...]:
+    def _restored(self, inner: str) -> tuple[str, ...]:
+        inner = squeeze(inner)
+        return tuple(dict.fromkeys(filter(None, (self.decode(inner), self.decode(inner, keep=True)))))
+
+    def token(self, word: str) -> tuple[str, ...]:
         """The words that a token in lower case may be: without the marks around it, and restored if it looks disguised."""
+        if word.isalpha() and not STRETCHED.search(word):
+            return (word,)
         plain = word.strip(MARKS)
         out = (plain,) if plain else ()
         inner = ENDS.sub("", word.strip(OUTER)).strip(OUTER)
         if inner and DISGUISED.search(inner):
-            for restored in (self.decode(squeeze(inner)), self.decode(squeeze(inner), keep=True)):
-                if restored and restored not in out:
-                    out += (restored,)
+            out += tuple(w for w in self.restored(inner) if w not in out)
         return out
 
 
@@ -131,6 +136,7 @@ MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»
 OUTER = "".join(c for c in MARKS if c not in LEET) + "".join(c for c in "!#%&+(<|")
 #: a letter and an imitation or a mark inside, or a stretched letter
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£#%&]|[0-9@$!|+(<€£#%&][^\w\s]*[^\W\d_]|[^\W\d_][._*~^-]+[^\W\d_]|([^\W\d_])\1\1")
+STRETCHED = re.compile(r"(.)\1\1")
 #: a mark twice or more at the end of a token is an ornament
 ENDS = re.compile(r"[.,;:]?([^\w\s])\1+[.,;:]?\Z")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ \t._*~-]{1,2}(?:[^\W_]|[@$!|+])){3,}(?!\S)")
@@ -141,17 +147,21 @@ def squeeze(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word)
 
 
+def spaced_words(text: str, restorer: Restorer) -> set[str]:
+    """What runs of single letters may hold: where their words begin is lost, so it is every ending."""
+    out: set[str] = set()
+    for m in SPACED.finditer(text):
+        joined = "".join(restorer.token("".join(re.split(r"[ \t._*~-]+", m[0])))[-1:])
+        out.update(joined[i : i + 40] for i in range(max(0, len(joined) - 2)))
+    return out
+
+
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
     """The distinct words of a text in lower case, with what is restored."""
-    if not text:
-        return set()
-    text = text.lower()
-    out: set[str] = set()
+    text = (text or "").lower()
+    out = spaced_words(text, restorer)
     for w in set(text.split()):
         out.update(restorer.token(w))
-    for m in SPACED.finditer(text):
-        joined = "".join(restorer.token("".join(re.split(r"[ \t._*~-]+", m[0])))[-1:])
-        out.update(joined[i:] for i in range(max(0, len(joined) - 2)))  # where its words begin is lost
     return out
 
 
@@ -160,19 +170,29 @@ def features(words: set[str]) -> set[str]:
 
 
 class Weights:
-    """feature -> log odds; a word counts with its strongest feature."""
-
-    def __init__(self, weight: dict[str, float]):
-        self.weight = weight
-        self.word = lru_cache(CACHED_WORDS)(self._word)
-
-    def _word(self, word: str) -> float:
-        return max([0.0, self.weight.get(word + " ", 0.0), *(self.weight.get(word[:k], 0.0) for k in PREFIXES if k < len(word))])
-
-    def summary(self, words: set[str]) -> tuple[float, float, float]:
-        """The strongest weight, the sum of the next four, and the log of the number of words."""
-        best = sorted(filter(None, map(self.word, words)), reverse=True)[:5]
-        return (best[0] if best else 0.0, sum(best[1:]), math.log1p(len(words)))
+    """feature -> log odds; a token counts with the strongest feature of what it may stand for."""
+
+    def __init__(self, weight: dict[str, float], restorer: Restorer):
+        self.weight, self.restorer = weight, restorer
+        self.known: dict[str, float] = {}
+
+    def word(self, word: str) -> float:
+        get = self.weight.get
+        return max([0.0, get(word + " ", 0.0), *[get(word[:k], 0.0) for k in PREFIXES if k < len(word)]])
+
+    def summary(self, text: str | None) -> tuple[float, float, float]:
+        """The strongest weight, the sum of the next four, and the log of the number of distinct tokens."""
+        text = (text or "").lower()
+        tokens = set(text.split())
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        for w in tokens.difference(known):
+            known[w] = max(map(self.word, self.restorer.token(w)), default=0.0)
+        best = [x for x in map(known.__getitem__, tokens) if x]
+        best += [x for x in map(self.word, spaced_words(text, self.restorer)) if x]
+        best = sorted(best, reverse=True)[:5]
+        return (best[0] if best else 0.0, sum(best[1:]), math.log1p(len(tokens)))
 
 
 def learn_weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -242,14 +262,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         restorer, seen, n = Restorer(shared.value), {0: Counter(), 1: Counter()}, Counter()
         for b in batches:
             for t, y in zip(b["t"], b["y"], strict=True):
-                seen[int(y > 0)].update(features(words_of(t, restorer)))
-                n[int(y > 0)] += 1
-        # what is rare among the toxic ones here may be common elsewhere, so all of it goes on
+                y = int(y > 0)
+                seen[y].update(features(words_of(t, restorer)))
+                n[y] += 1
+                if len(seen[y]) > FLUSH:  # what is rare here may be common elsewhere, so all of it goes on
+                    yield pd.DataFrame({"f": list(seen[y]), "y": y, "n": list(seen[y].values())})
+                    seen[y].clear()
         for y in (0, 1):
-            keys = list(seen[y])
-            for i in range(0, len(keys), 50_000):
-                yield pd.DataFrame({"f": keys[i : i + 50_000], "y": y, "n": [seen[y][k] for k in keys[i : i + 50_000]]})
-            yield pd.DataFrame({"f": [""], "y": [y], "n": [n[y]]})
+            yield pd.DataFrame({"f": ["", *seen[y]], "y": y, "n": [n[y], *seen[y].values()]})
 
     counts = rows.where("half = 0").select("t", "y").mapInPandas(count, "f string, y int, n long")
     per = counts.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
@@ -263,9 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = rows.sparkSession.sparkContext.broadcast((model, weights))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, w = Restorer(known.value[0]), Weights(known.value[1])
+        w = Weights(known.value[1], Restorer(known.value[0]))
         for b in batches:
-            yield pd.DataFrame([(*w.summary(words_of(t, restorer)), y) for t, y in zip(b["t"], b["y"], strict=True)], columns=["a", "b", "c", "y"])
+            yield pd.DataFrame([(*w.summary(t), y) for t, y in zip(b["t"], b["y"], strict=True)], columns=["a", "b", "c", "y"])
 
     got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "a double, b double, c double, y int").toPandas()
     fitted = None
@@ -281,12 +301,12 @@ def score(docs: DataFrame, fitted, text: str = "text", name: str = "toxicity") -
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, weights, calibration, share = shared.value
-        restorer, w = Restorer(model), Weights(weights)
+        w = Weights(weights, Restorer(model))
         for texts in batches:
             if calibration is None:
                 yield pd.Series(np.full(len(texts), float(share)))
             else:
-                yield pd.Series(logistic(np.array([w.summary(words_of(t, restorer)) for t in texts]).reshape(-1, 3), calibration))
+                yield pd.Series(logistic(np.array([w.summary(t) for t in texts]).reshape(-1, 3), calibration))
 
     return docs.withColumn(name, toxicity(F.col(text)))
 
