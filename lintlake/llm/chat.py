@@ -61,7 +61,7 @@ def lines_of(turns: DataFrame, key: str, order: str, text: str, role: str | None
         known = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim(role))).cast("int") - 1, F.lit(-1))
     split = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), known.alias("r"), F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")).alias("line", "text"))
     first = F.col("line") == 0
-    return split.select("k", "o", "line", "text", features(F.col("text"), first & (F.col("o") == 0)).alias("seen"), F.when(F.col("r") >= 0, F.col("r") * 2 + F.when(first, 0).otherwise(1)).otherwise(-1).cast("int").alias("truth"))
+    return split.select("k", "o", "line", "text", features(F.col("text"), first & F.coalesce(F.col("o") == 0, F.lit(False))).alias("seen"), F.when(F.col("r") >= 0, F.col("r") * 2 + F.when(first, 0).otherwise(1)).otherwise(-1).cast("int").alias("truth"))
 
 
 def spread(lines: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 GRID = 16
 GRID_PASSES = 4
+FIXES = 2  #: documents of each source whose copies may then change by one, to come nearer still
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -66,7 +67,7 @@ def balance(sized: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES)
         s = state.alias("s").join(sums.alias("f"), F.expr("s.source <=> f.source")).select("s.*", "f.f", "f.slope")
         s = s.withColumns({"lo": F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("f") >= F.col("target"), F.col("lam")).otherwise(F.col("hi"))})
         # Newton on log f, whose slope is slope / f: it is nearly linear in lam
-        step = F.col("lam") - F.log(F.col("f") / F.col("target")) * F.col("f") / F.col("slope")
+        step = F.col("lam") - F.log(F.col("f") / F.col("target")) * F.try_divide("f", "slope")
         inside = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         middle = F.when(F.col("lo") <= -1e4, F.col("hi") * 2 - 1).when(F.col("hi") >= 1e4, F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         s = s.withColumns({"gap": F.abs(F.col("f") / F.col("target") - 1), "next": F.when(inside, step).otherwise(middle)})
@@ -111,11 +112,34 @@ def entropy_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copi
         width = (F.col("to") - F.col("from")) / GRID
         offsets = materialise(o.select("source", "target", (F.col("from") + width * part).alias("from"), (F.col("from") + width * (part + 1)).alias("to"), F.when(near, F.col("from") + width * part).otherwise(F.col("from") + width * (part + 1)).alias("offset")), "mix-offsets").withColumn("offset", F.col("offset"))
         final, offsets = offsets, offsets.drop("offset")
-    per = solved.alias("t").join(final.select("source", "offset").alias("o"), F.expr("t.source <=> o.source"), "left").select(
-        F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("t.target").alias("mix_target"), F.col("lam").alias("mix_lam"), F.col("mean").alias("mix_mean"), F.coalesce("offset", F.lit(0.0)).alias("mix_offset"))
+    final = _nearer(rated, final.select("source", "target", "offset"), max_copies)
+    per = solved.alias("t").join(final.select("source", "offset", "fixes").alias("o"), F.expr("t.source <=> o.source"), "left").select(
+        F.col("fixes").alias("mix_fixes"), F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("t.target").alias("mix_target"), F.col("lam").alias("mix_lam"), F.col("mean").alias("mix_mean"), F.coalesce("offset", F.lit(0.0)).alias("mix_offset"))
     out = base.join(per, base[source].eqNullSafe(per.mix_source)).withColumn("mix_rate", _rate(F.col("mix_lam"), F.col("mix_size") / F.col("mix_mean"), max_copies))
-    copies = F.greatest(F.lit(0), F.least(F.lit(max_copies), F.floor(F.col("mix_rate") + F.col("mix_dither") - F.col("mix_offset")))).cast("int")
-    return out.withColumn("mix_copies", copies).drop("mix_source", "mix_lam", "mix_mean", "mix_offset", "mix_dither")
+    copies = _fixed(F.greatest(F.lit(0), F.least(F.lit(max_copies), F.floor(F.col("mix_rate") + F.col("mix_dither") - F.col("mix_offset")))), F.col("mix_fixes"), F.col("mix_size"), F.col("mix_dither"))
+    return out.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_lam", "mix_mean", "mix_offset", "mix_dither", "mix_fixes")
+
+
+def _fixed(copies, fixes, size, dither):
+    """copies and the change, if any, of the document that this is."""
+    mine = F.filter(fixes, lambda x: (x["size"] == size) & (x["dither"] == dither))
+    return copies + F.coalesce(F.aggregate(mine, F.lit(0), lambda a, x: a + x["change"]), F.lit(0))
+
+
+def _nearer(rated: DataFrame, state: DataFrame, max_copies: int) -> DataFrame:
+    """state (source, target, offset) with fixes: in each of FIXES passes the one document whose change by a copy best closes what is left of the gap."""
+    state = state.withColumn("fixes", F.expr("cast(array() as array<struct<size: bigint, dither: double, change: int>>)"))
+    for _ in range(FIXES):
+        r = rated.alias("r").join(state.alias("o"), F.expr("r.source <=> o.source")).select("o.source", "size", "dither", "o.target", _fixed(_copies(F.col("offset"), max_copies), F.col("fixes"), F.col("size"), F.col("dither")).alias("copies"))
+        gaps = r.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+        r = r.alias("r").join(gaps.alias("g"), F.expr("r.source <=> g.source")).select("g.source", "size", "dither", "copies", "gap")
+        change = F.signum("gap").cast("int")
+        left = F.abs(F.col("gap") - change * F.col("size"))
+        may = (F.col("size") > 0) & (left < F.abs("gap")) & (F.col("copies") + change).between(0, max_copies)
+        best = r.where(may).groupBy("source").agg(F.min(F.struct(left.alias("left"), "size", "dither", change.alias("change"))).alias("b"))
+        found = state.alias("s").join(best.alias("b"), F.expr("s.source <=> b.source"), "left")
+        state = materialise(found.select("s.source", "s.target", "s.offset", F.when(F.col("b.b").isNull(), F.col("s.fixes")).otherwise(F.concat("s.fixes", F.array(F.struct(F.col("b.b.size").alias("size"), F.col("b.b.dither").alias("dither"), F.col("b.b.change").alias("change"))))).alias("fixes")), "mix-fixes")
+    return state
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
