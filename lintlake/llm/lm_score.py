@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: how well each token of a text follows from the tokens on both of its sides.
 
-Tokens are words, known by their length (up to 4) and last three letters: the commonest of these in the corpus have a number
-of their own, all others share one. A network of one hidden layer, in numpy, sees the tokens before and after a masked
+Tokens are words: those of up to five letters as they are, longer ones by their last three letters. The commonest of these in the corpus have a
+number of their own, all others share one. A network of one hidden layer, in numpy, sees the tokens before and after a masked
 one and gives a distribution over the vocabulary. It is trained on the whole corpus: each partition makes steps from the common
 parameters on positions of all its documents, the results are averaged by their numbers of positions, and so on, round by round. A text's
 score is the sum of the log-probabilities of all its tokens.
@@ -32,7 +32,7 @@ AT_ONCE = 2048  #: positions that are scored at a time
 
 def unit(word: bytes) -> str:
     w = word.decode("utf-8", "replace")
-    return f"{min(len(w), 4)}{w[-3:]}"
+    return w if len(w) <= 5 else f"-{w[-3:]}"
 
 
 def units(text: str | None, known: dict[bytes, str]) -> list[str]:
