@@ -23,7 +23,7 @@ def scan_modes(old: DataFrame, new: DataFrame) -> DataFrame:
     a = old.select("file_path", "name", F.col("hash").alias("ha"), F.col("file_hash").alias("fa"))
     b = new.select("file_path", "name", F.col("hash").alias("hb"), F.col("file_hash").alias("fb"))
     met = a.join(b, ["file_path", "name"], "full_outer")
-    per = met.groupBy("file_path").agg(F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.count_if("hb is null").alias("gone"), F.count("hb").alias("n"), F.array_sort(F.collect_set(F.when(F.col("hb").isNotNull() & ~F.col("ha").eqNullSafe(F.col("hb")), F.col("name")))).alias("changed"))
+    per = met.groupBy("file_path").agg(F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.count_if(F.expr("hb is null")).alias("gone"), F.count("hb").alias("n"), F.array_sort(F.collect_set(F.when(F.col("hb").isNotNull() & ~F.col("ha").eqNullSafe(F.col("hb")), F.col("name")))).alias("changed"))
     mode = F.when(F.col("fa") == F.col("fb"), "reuse").when((F.size("changed") == 0) | (F.col("gone") > 0) | (F.size("changed") > FULL_ABOVE * F.col("n")), "full").otherwise("partial")
     return per.select("file_path", mode.alias("mode"), "changed")
 

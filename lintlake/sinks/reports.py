@@ -8,6 +8,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import html_escape, title_case
 from ..operators.findings import sarif_position
@@ -17,7 +18,7 @@ from ..plans.dims import SARIF_LEVELS, SEVERITIES, literal_map, severity_rank
 MAX_ERRORS = 20
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uri_quote(paths: pd.Series) -> pd.Series:
     """Percent-encoding that leaves slashes and unreserved characters, which url_encode doesn't."""
     return paths.map(lambda p: None if p is None else quote(p.replace("\\", "/"), safe="/-._~"))

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fingerprint, normalise_newlines
 from ..operators.match import lines_of
@@ -41,7 +42,7 @@ def ignored(rel: Column, excluded_dirs: Iterable[str] = EXCLUDED_DIRS, excluded_
     return out | name.startswith(".") & ~name.isin(*DOT_FILES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lenient_utf8(content: pd.Series) -> pd.Series:
     """Bytes that are not UTF-8 are dropped; the built-in decode would replace or refuse them."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
