@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 from .jaccard_join import in_groups
 
 ROLES = ("system", "user", "assistant")
@@ -225,6 +225,8 @@ def parse(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
 
     done = by_part(lines.drop("truth")).mapInPandas(decode, f"k {kinds['k']}, o {kinds['o']}, line int, text string, part int, role int, begin_o {kinds['o']}, begin_line int")
     done = materialise(done, "chat-decoded")
+    if not cut:
+        drop(lines)
     if cut:  # lines before the first beginning of a part belong to the last turn of the parts before
         last = done.where("begin_line is not null").join(F.broadcast(parts), done.k.eqNullSafe(parts.k), "left_semi").groupBy("k", "part").agg(F.max(F.struct("o", "line", "begin_o", "begin_line")).alias("x")).select("k", "part", "x.begin_o", "x.begin_line").collect()
         fill = []

@@ -34,17 +34,17 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def drop_materialised(*dfs: DataFrame) -> None:
-    """Deletes the files of tables that materialise() wrote and that nothing will read any more."""
-    for df in dfs:
-        spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/lintlake/" in f:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables from materialise(), which nothing that is still to run may read."""
+    for df in tables:
+        if where := getattr(df, "written_to", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import drop, materialise, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -72,7 +72,8 @@ def balance(sized: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES)
         middle = F.when(F.col("lo") <= -1e4, F.col("hi") * 2 - 1).when(F.col("hi") >= 1e4, F.col("lo") * 2 + 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         s = s.withColumns({"gap": F.abs(F.col("f") / F.col("target") - 1), "next": F.when(inside, step).otherwise(middle)})
         s = s.withColumn("lam", F.when(F.col("gap") < TOLERANCE, F.col("lam")).otherwise(F.greatest(F.lit(-1e4), F.least(F.lit(1e4), F.col("next")))))
-        state = materialise(s.select(state.columns), "mix-state")
+        before, state = state, materialise(s.select(state.columns), "mix-state")
+        drop(before)
         # a source that takes all it may only nears its target: its rates are set below
         left = state.where((F.col("gap") >= TOLERANCE) & (F.col("target") < F.col("source_size") * max_copies * (1 - 1e-9)) & (F.col("hi") - F.col("lo") > 1e-12)).limit(1).count()
         if not left:
@@ -113,6 +114,7 @@ def entropy_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copi
         offsets = materialise(o.select("source", "target", (F.col("from") + width * part).alias("from"), (F.col("from") + width * (part + 1)).alias("to"), F.when(near, F.col("from") + width * part).otherwise(F.col("from") + width * (part + 1)).alias("offset")), "mix-offsets").withColumn("offset", F.col("offset"))
         final, offsets = offsets, offsets.drop("offset")
     final = _nearer(rated, final.select("source", "target", "offset"), max_copies)
+    drop(sized)
     per = solved.alias("t").join(final.select("source", "offset", "fixes").alias("o"), F.expr("t.source <=> o.source"), "left").select(
         F.col("fixes").alias("mix_fixes"), F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("t.target").alias("mix_target"), F.col("lam").alias("mix_lam"), F.col("mean").alias("mix_mean"), F.coalesce("offset", F.lit(0.0)).alias("mix_offset"))
     out = base.join(per, base[source].eqNullSafe(per.mix_source)).withColumn("mix_rate", _rate(F.col("mix_lam"), F.col("mix_size") / F.col("mix_mean"), max_copies))

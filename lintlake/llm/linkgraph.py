@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, drop, materialise
 
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -59,12 +59,15 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), "rank-edges")
     seeds = materialise(seeds, "rank-seeds")
     score = seeds.select("host", F.col("weight").alias("score"))
-    for i in range(rounds):
+    earlier: list[DataFrame] = []
+    for _ in range(rounds):
         flow = score.join(steps, score.host == steps.src).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
         # whatever does not flow on returns to the seeds, so that the scores keep their sum of 1
         lost = 1.0 - (flow.agg(F.sum("score")).first()[0] or 0.0)
         score = flow.unionByName(seeds.select("host", (F.col("weight") * lost).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
         score = materialise(score, "rank")
+        drop(*earlier)
+        earlier = [score]
     return score
 
 

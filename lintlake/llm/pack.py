@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 CAPACITY = 2048
 END_ID = 0
@@ -218,4 +218,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "
     Null and empty texts hold the end id alone. Repeated rows are packed as often as they come. A null key is kept. An empty
     table gives no rows. Columns other than key and text are not read.
     """
-    return pack(materialise(pieces(docs, capacity, tokenizer, text=text, key=key), "pieces"), capacity, (key, "piece"))
+    cut = materialise(pieces(docs, capacity, tokenizer, text=text, key=key), "pieces")
+    packed = pack(cut, capacity, (key, "piece"))
+    drop(cut)
+    return packed

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialise
+from .common import bucket_of, drop, materialise
 from .toxicity import fit_logistic, logistic
 
 MAX_LABELLED = 12_000  #: labelled rows that dictionaries and calibration are made from, about
@@ -85,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pd.DataFrame({"x": [ways.summary(t) for t in b["t"]], "y": b["y"]})
 
     got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "x array<double>, y int").toPandas()
+    drop(rows)
     y = (got["y"] > 0).to_numpy() if len(got) else np.zeros(0)
     fitted = fit_logistic(np.array(got["x"].tolist()), y) if 0 < y.sum() < len(y) else None
     return made[1], made[0], fitted, float(y.mean()) if len(y) else 0.5

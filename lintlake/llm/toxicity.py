@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialise
+from .common import bucket_of, drop, materialise
 
 MAX_LABELLED = 30_000  #: labelled rows that the classifier is fitted on, about; counts of characters cover all rows
 PREFIXES = range(3, 8)  #: lengths of the word beginnings that are features
@@ -288,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pd.DataFrame([(*w.summary(t), y) for t, y in zip(b["t"], b["y"], strict=True)], columns=["a", "b", "c", "y"])
 
     got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "a double, b double, c double, y int").toPandas()
+    drop(rows)
     fitted = None
     if n_toxic and n_clean and got["y"].nunique() == 2:
         fitted = fit_logistic(got[["a", "b", "c"]].to_numpy(), (got["y"] > 0).to_numpy())
