@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 WORDS = 4
 PERCENT = 85
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 CHUNK_NODES, CHUNK_HASHES = 1_024, 400_000  #: what one task compares at a time
 BLOCK = 256  #: nodes that are compared with all chunks, at a time
 LEAF = 48
@@ -155,12 +155,14 @@ class Joiner:
 def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows that come sorted by keys."""
     held: list[pd.DataFrame] = []
+    last = None
     for b in batches:
         if not len(b):
             continue
-        k = b[keys].to_numpy()
+        k = b[keys]
+        k = (k.astype(object).where(k.notna(), None) if k.isna().any(axis=None) else k).to_numpy()
         cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        if held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any():
+        if held and (last != k[0]).any():
             yield pd.concat(held)
             held = []
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(b)], strict=True):
@@ -168,6 +170,7 @@ def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
                 yield pd.concat(held)
                 held = []
             held.append(b.iloc[lo:hi])
+        last = k[-1]
     if held:
         yield pd.concat(held)
 
@@ -177,7 +180,7 @@ def _sets(values: pd.Series) -> list[np.ndarray]:
 
 
 def _hash_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, parts: str) -> DataFrame:
-    """parts: 'name' for (doc, n, name), 'prefix' for (doc, n, name, prefix), 'all' for (node, n, hashes)."""
+    """parts: 'name' for (k, n, name), 'prefix' for (k, n, name, prefix)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,18 +192,31 @@ def _hash_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, p
                 k = b["k"].iloc[lo : lo + 1000]
                 sets = [shingles(t) for t in b["t"].iloc[lo : lo + 1000]]
                 out = {"k": k.to_numpy(), "n": [len(s) for s in sets]}
-                if parts == "all":
-                    out["hashes"] = [s.tobytes() for s in sets]
-                else:
-                    out["name"] = [xxh3_128_digest(s.tobytes()) for s in sets]
+                out["name"] = [xxh3_128_digest(s.tobytes()) for s in sets]
                 if parts == "prefix":
                     out["prefix"] = [s[: int(prefix_lengths(len(s), percent)[0])].view(np.int64) for s in sets]
                 yield pd.DataFrame(out).astype({"k": "Int64"} if kind in ("bigint", "int") else {})
 
-    more = {"name": ", name binary", "prefix": ", name binary, prefix array<long>", "all": ", hashes binary"}[parts]
+    more = {"name": ", name binary", "prefix": ", name binary, prefix array<long>"}[parts]
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, n long{more}")
 
 
+def _sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of texts (node, name, t) whose set has that name: documents that share a key may differ. Rows that repeat stay."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        shingles = shingler(words)
+        for b in batches:
+            rows = [(n, shingles(t).tobytes(), m) for n, m, t in zip(b["node"], b["name"], b["t"], strict=True)]
+            rows = [(n, h) for n, h, m in rows if xxh3_128_digest(h) == bytes(m)]
+            for lo in range(0, len(rows), 1000):
+                yield pd.DataFrame(rows[lo : lo + 1000], columns=["node", "hashes"])
+
+    return texts.select("node", "name", "t").mapInPandas(run, "node long, hashes binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node of the class."""
     both = links.where("a <> b").select("a", "b")
@@ -210,10 +226,12 @@ def components(links: DataFrame) -> DataFrame:
         low = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
         new = materialise(labels.join(low, labels.node == low.a).select("node", "label", F.least("label", "low").alias("new")), "labels")
         jump = new.select(F.col("node").alias("at"), F.col("new").alias("far"))
-        new = materialise(new.join(jump, new.new == jump["at"]).select("node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return labels
+        far = materialise(new.join(jump, new.new == jump["at"]).select("node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "labels")
+        drop(labels, new)
+        labels = far
+        if not far.where("moved").limit(1).count():
+            drop(both)
+            return labels.drop("moved")
 
 
 def _pick(rows: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
@@ -225,24 +243,23 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     """key, n_shingles, component_id (the smallest key that links reach, the row's own included), n_copies (rows with an equal set).
 
     Sets link at 100 * intersection >= percent * union. Null and empty texts, and texts of white space, have no shingles and are alone: their
-    component is their own key. A row with a null key takes part; it is never the name of a component that has other keys, else
-    the component is null. Repeated rows come back as often as they came. An empty table gives no rows. Other columns are not read.
+    component is their own key. A row with a null key takes part through rows with an equal set that have one; without any it is alone, and its
+    component null. Repeated rows come back as often as they came. An empty table gives no rows. Other columns are not read.
     """
     named = materialise(_hash_sets(docs, key, text, words, percent, "name"), "sets")
     first = _hash_sets(docs, key, text, words, percent, "prefix").where("n > 0").groupBy("name").agg(F.min("k").alias("doc"), F.max("n").alias("n"), F.min("prefix").alias("prefix"), F.count(F.lit(1)).alias("n_copies"))
     nodes = materialise(first.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once and for all
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     spare = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
     extra = F.greatest(F.lit(1), F.floor((spare + 2) / 3))
     hashes = nodes.select("node", F.explode("prefix").alias("h"))
     shared = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    n_shared = shared.count()
-    met = _pick(hashes, shared, "h", n_shared).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
+    met = hashes.join(shared.hint("merge"), "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
     sizes = nodes.select("node", "n", extra.cast("int").alias("extra"))
     keys = met.join(sizes, "node").where(F.size("met") >= F.col("extra")).select("node", "n", F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("extra") + 1)).alias("m")).select("node", "n", F.col("m.h").alias("h"))
     keys = materialise(keys, "keys")
+    drop(shared)
     pivots = materialise(keys.groupBy("h").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "pivot"), "pivots")
-    members = materialise(_pick(keys, pivots, "h", pivots.count()).select("pivot", "node", "n").distinct(), "members")
+    met = members = materialise(keys.join(pivots.hint("merge"), "h").select("pivot", "node", "n").distinct(), "members")
     # nodes once under a pivot of its own are done
     regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where("c > 1")
     regions = materialise(regions.select("pivot", F.greatest(F.ceil(F.col("c") / chunk_nodes), F.ceil(F.col("w") / chunk_hashes)).cast("int").alias("chunks")), "regions")
@@ -250,16 +267,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     last = F.col("chunks") - 1
     dealt = members.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))))
     dealt = materialise(dealt.select("pivot", "node", "chunk", "chunks"), "dealt")
+    drop(keys, pivots, met)
     used = materialise(dealt.select("node").distinct().join(nodes.select("node", "name", "doc"), "node").select("node", "name", "doc"), "used")
     n_used = used.count()
-    texts = _pick(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), used.where("doc is not null").select("node", "doc"), "doc", n_used)
-    sets = _hash_sets(texts, "node", "text", words, percent, "all").withColumnRenamed("k", "node")
-    # documents that share a key may differ; those with the node's own set stand for it
-    named_sets = sets.withColumn("name", _name_of(sets)).join(used.select("node", "name"), ["node", "name"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
-    sets = materialise(named_sets, "hashes")
+    texts = _pick(docs.select(F.col(key).alias("doc"), F.col(text).alias("t")), used.where("doc is not null"), "doc", n_used)
+    sets = materialise(_sets_of(texts, words), "hashes")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in in_groups(batches, ["pivot", "chunk"]):
+            g = g.drop_duplicates("node")
             ids = g["node"].to_numpy()
             j = Joiner(_sets(g["hashes"]), percent)
             at = np.flatnonzero(ids == g["pivot"].iloc[0])
@@ -271,31 +287,24 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
             if g["chunks"].iloc[0] > 1:
                 yield pd.DataFrame({"pivot": g["pivot"].to_numpy(), "a": ids, "b": ids, "d": d})
 
-    filled = dealt.join(sets, "node")
+    filled = dealt.hint("merge").join(sets, "node")
     found = materialise(filled.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "node").mapInPandas(solve, "pivot long, a long, b long, d double"), "links")
+    drop(dealt)
     links = found.where("pivot = -1").select("a", "b")
     large = materialise(found.where("pivot <> -1").select("pivot", F.col("a").alias("node"), "d").dropDuplicates(["pivot", "node"]), "large")
     if large.limit(1).count():
         links = links.unionByName(_across(large, sets, components(links), regions, percent))
+    drop(sets)
     labels = components(links)
     classes = nodes.select("node", "name", "doc", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = materialise(classes, "classes")
     least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
     by_name = materialise(classes.join(least, "label").select("name", "component_id", "n_copies"), "by-name")
+    drop(nodes, used, regions, found, large, classes)
     out = named.join(by_name, "name", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def _name_of(sets: DataFrame):
-    @F.pandas_udf("binary")
-    def name(values: pd.Series) -> pd.Series:
-        from xxhash import xxh3_128_digest
-
-        return values.map(xxh3_128_digest)
-
-    return name(sets["hashes"])
-
-
 def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """Links between the chunks of large regions that labels do not know yet."""
     r = 1 - percent / 100
@@ -317,6 +326,7 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataF
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in in_groups(batches, keys):
+            g = g.drop_duplicates(["node", "outside"])
             out = g["outside"].to_numpy()
             if not out.any() or out.all():
                 continue
