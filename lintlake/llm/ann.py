@@ -1,9 +1,9 @@
 """Nearest neighbours by largest inner product: inverted lists, scanned a block of rotated dimensions at a time.
 
-A random rotation spreads each vector's length evenly over its dimensions, so that what the dimensions not yet read can add to
-an inner product is about normal, with a spread known from the two remaining lengths. After every block a test abandons the
-candidates that would have to be ``EPSILON`` spreads lucky to reach the query's 20 best so far. Survivors get their inner product
-in double precision from the original vectors.
+A random rotation spreads the difference of two vectors evenly over the dimensions, so that d of D dimensions hold about d / D of
+their squared distance, whatever the vectors. An inner product that would be among the query's 20 best so far means a distance of
+at most t; after every block a test abandons the candidates whose partial distance is beyond (1 + EPSILON / sqrt(d)) times its
+share of that. Survivors get their inner product in double precision from the original vectors.
 """
 
 from __future__ import annotations
@@ -58,8 +58,7 @@ def scan(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, rot
     dim = q.shape[1]
     qr, xr = q @ rot, x @ rot
     stops = [b for b in blocks if b < dim]
-    q_left = [np.sqrt((qr[:, b:] ** 2).sum(1)) for b in stops]
-    x_left = [np.sqrt((xr[:, b:] ** 2).sum(1)) for b in stops]
+    q_read, x_read = (np.cumsum(v * v, axis=1) for v in (qr, xr))  # squared lengths of the dimensions read so far
     step = max(2 * k, 256)
     floor = np.full(len(q), -np.inf)  # the k-th best so far
     found: list[list[np.ndarray]] = [[], [], []]
@@ -68,10 +67,11 @@ def scan(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, rot
         part = slice(lo, lo + step)
         start, alive = 0, None
         score = np.zeros((len(q), len(xr[part])))
-        for b, ql, xl in zip(stops, q_left, x_left, strict=True):
+        most = q_read[:, -1:] + x_read[None, part, -1] - 2 * floor[:, None]  # squared distance that the k-th best so far means
+        for b in stops:
             score += qr[:, start:b] @ xr[part, start:b].T
-            spread = ql[:, None] * xl[None, part] / np.sqrt(dim - b)
-            alive = score + epsilon * spread + 1e-9 >= floor[:, None]
+            gone = q_read[:, b - 1 : b] + x_read[None, part, b - 1] - 2 * score
+            alive = gone <= (1 + epsilon / np.sqrt(b)) ** 2 * (b / dim) * most + 1e-9
             start = b
             if not alive.any(axis=0).all():  # columns that no query wants any more are not read on
                 wanted = np.flatnonzero(alive.any(axis=0))
