@@ -64,10 +64,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among images drawn from all rows of embeddings, every tenth with a cropped and dimmed copy."""
-    from .common import materialise
     from .media import copy_classes, rendered
 
-    return copy_classes(materialise(rendered(table(spark, sf_dir, "embeddings")), "media"))
+    return copy_classes(rendered(table(spark, sf_dir, "embeddings")))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
