@@ -30,8 +30,8 @@ from .common import drop, materialise
 WORDS = 4
 PERCENT = 85
 CACHED_WORDS = 100_000
-CHUNK_NODES, CHUNK_HASHES = 1_024, 400_000  #: what one task compares at a time
-BLOCK = 256  #: nodes that are compared with all chunks, at a time
+CHUNK_NODES, CHUNK_HASHES = 256, 200_000  #: what one task compares at a time
+BLOCK = 128  #: nodes that are compared with all chunks, at a time
 LEAF = 48
 CELLS = 16
 BROADCAST_ROWS = 400_000  #: keys of 8 bytes that may be sent to every executor; beyond that, rows are shuffled
