@@ -32,8 +32,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1; of each group of linked documents the one with the smallest id stays. Documents without shingles have no links and stay; rows that repeat an id stay once."""
-    classes = jaccard_classes(docs)
+    """Operator 1 on five words and a similarity of 0.8; of each group of linked documents the one with the smallest id stays. Documents without shingles have no links and stay; rows that repeat an id stay once."""
+    classes = jaccard_classes(docs, percent=80, words=5)
     kept = classes.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     nameless = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialise
 
-WORDS = 4
-PERCENT = 85
+WORDS = 5
+PERCENT = 80
 CACHED_WORDS = 100_000
 CHUNK_NODES, CHUNK_HASHES = 256, 200_000  #: what one task compares at a time
 BLOCK = 128  #: nodes that are compared with all chunks, at a time

@@ -27,12 +27,12 @@ def odd_docs(spark):
     return df
 
 
-def brute_classes(rows):
+def brute_classes(rows, words=5, percent=80):
     low = {i: i + 32 for i in range(65, 91)}
     sets, ids = [], []
     for k, t in rows:
         w = WORD.findall((t or "").translate(low))
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
         ids.append(k)
     label = list(range(len(sets)))
 
@@ -43,7 +43,7 @@ def brute_classes(rows):
 
     for i in range(len(sets)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 label[root(i)] = root(j)
     least = defaultdict(list)
     for i in range(len(sets)):
@@ -72,11 +72,11 @@ def near_copies(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1024, 7])
-def test_jaccard_classes_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "words", "percent"), [(1024, 4, 85), (7, 5, 80), (7, 4, 85)])
+def test_jaccard_classes_equal_brute_force(spark, chunk, words, percent):
     rows = near_copies(chunk)
-    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), chunk_nodes=chunk)
-    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(brute_classes(rows))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent, words, chunk_nodes=chunk)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(brute_classes(rows, words, percent))
 
 
 def test_jaccard_on_odd_tables(spark):
@@ -95,7 +95,7 @@ def test_joiner_recursion_is_exact():
             s = base.copy()
             s[rng.integers(0, len(s), rng.integers(0, 6))] = rng.integers(0, 400)
             sets.append(np.unique(s).astype(np.uint64))
-    j = jaccard_join.Joiner(sets)
+    j = jaccard_join.Joiner(sets, 85)
     j.join(np.arange(len(sets)))
     linked = [[100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for b in sets] for a in sets]
     label = list(range(len(sets)))
