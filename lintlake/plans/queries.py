@@ -36,17 +36,17 @@ LINES_SQL = """l as (select doc_id, lang, 'docs/' || doc_id as file_path, unnest
   from (select doc_id, lang, string_split(text, chr(10)) as p from documents))"""
 
 
-@query("with " + LINES_SQL + " select lang, count(*) as n_lines, count(distinct doc_id) as n_docs, max(line) as longest, sum(length(line_text)) as chars from l group by lang")
+@query("with " + LINES_SQL + " select lang, count(*) as n_lines, count(distinct doc_id) as n_docs, max(line) as longest, cast(sum(length(line_text)) as bigint) as chars from l group by lang")
 def scan_lines(spark, d):
-    return _lines(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"), F.max("line").alias("longest"), F.sum(F.length("line_text").cast("long")).cast("decimal(38,0)").alias("chars"))
+    return _lines(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"), F.max("line").alias("longest"), F.sum(F.length("line_text")).alias("chars"))
 
 
-@query("""select case when n > 20000 then 'too_large' when n = 0 then 'empty' when kind = 'page' and url like '%.html%' then 'excluded' else 'scanned' end as reason, count(*) as n_files, sum(n) as bytes
+@query("""select case when n > 20000 then 'too_large' when n = 0 then 'empty' when kind = 'page' and url like '%.html%' then 'excluded' else 'scanned' end as reason, count(*) as n_files, cast(sum(n) as bigint) as bytes
   from (select 'doc' as kind, '' as url, length(text) as n from documents union all select 'page', url, length(html) from pages) group by 1""")
 def skip_reasons(spark, d):
     files = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.lit("").alias("url"), F.length("text").alias("n")).unionAll(table(spark, d, "pages").select(F.lit("page"), "url", F.length("html")))
     reason = F.when(F.col("n") > 20000, "too_large").when(F.col("n") == 0, "empty").when((F.col("kind") == "page") & F.contains("url", F.lit(".html")), "excluded").otherwise("scanned")
-    return files.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").cast("decimal(38,0)").alias("bytes"))
+    return files.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("bytes"))
 
 
 @query("""with a(alias, language) as (values ('py','python'),('js','javascript'),('go','go'),('c++','cpp')), x(ext, language) as (values ('.html','typescript'),('.py','python'),('.java','java'))
@@ -112,7 +112,7 @@ def strip_code(spark, d):
 
 
 @query("""select event_id, event_type as rule_id, case k % 5 when 0 then 'Critical' when 1 then 'High' when 2 then 'Medium' when 3 then 'Low' else 'Medium' end as severity,
-  case k % 3 when 0 then 0.9 when 1 then 0.3 else 0.5 end as confidence from (select event_id, event_type, cast(json_extract(props, '$.k') as bigint) as k from events)""")
+  cast(case k % 3 when 0 then 0.9 when 1 then 0.3 else 0.5 end as double) as confidence from (select event_id, event_type, cast(json_extract(props, '$.k') as bigint) as k from events)""")
 def finding_normalise(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     severity = F.element_at(F.array(*map(F.lit, ("critical", "HIGH", "Medium", "low", "bogus"))), k % 5 + 1)
