@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to Python, about. Texts differ in length by orders of magnitude, so a count of rows bounds nothing.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller batches to Python than Spark's own 64 MB, of which a worker holds several forms at once; what a session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 * 1024 * 1024):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """df written as Parquet into the shared folder and read again: its lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

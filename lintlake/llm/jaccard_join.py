@@ -12,7 +12,7 @@ pivot. The join goes from coarse to fine:
   more than 2 r further than its nearest one, and cells are joined recursively. Pairs already connected are not compared again, since
   only connectivity is returned.
 * Large regions are dealt into chunks that all hold the region's pivot. What then is not connected with the bulk of its
-  region is compared with all chunks, within the window of r in distance to the pivot, block by block.
+  region is compared with all chunks, block by block, where their distances to the pivot differ by r at most.
 * Links become classes by label propagation with pointer jumping.
 """
 
@@ -31,7 +31,7 @@ WORDS = 5
 PERCENT = 80
 CACHED_WORDS = 100_000
 CHUNK_NODES, CHUNK_HASHES = 256, 200_000  #: what one task compares at a time
-BLOCK = 128  #: nodes that are compared with all chunks, at a time
+ACROSS = 4  #: what is compared across chunks goes in chunks that are larger by this factor, against blocks of half their size
 LEAF = 48
 CELLS = 16
 BROADCAST_ROWS = 400_000  #: keys of 8 bytes that may be sent to every executor; beyond that, rows are shuffled
@@ -262,8 +262,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     met = members = materialise(keys.join(pivots.hint("merge"), "h").select("pivot", "node", "n").distinct(), "members")
     # nodes once under a pivot of its own are done
     regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where("c > 1")
-    regions = materialise(regions.select("pivot", F.greatest(F.ceil(F.col("c") / chunk_nodes), F.ceil(F.col("w") / chunk_hashes)).cast("int").alias("chunks")), "regions")
-    members = members.join(regions, "pivot")
+    parts = lambda c, w, by: F.greatest(F.ceil(F.col(c) / (chunk_nodes * by)), F.ceil(F.col(w) / (chunk_hashes * by)), F.lit(1)).cast("int")
+    regions = materialise(regions.select("pivot", parts("c", "w", 1).alias("chunks"), parts("c", "w", ACROSS).alias("wide")), "regions")
+    members = members.join(regions.select("pivot", "chunks"), "pivot")
     last = F.col("chunks") - 1
     dealt = members.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))))
     dealt = materialise(dealt.select("pivot", "node", "chunk", "chunks"), "dealt")
@@ -293,7 +294,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = found.where("pivot = -1").select("a", "b")
     large = materialise(found.where("pivot <> -1").select("pivot", F.col("a").alias("node"), "d").dropDuplicates(["pivot", "node"]), "large")
     if large.limit(1).count():
-        links = links.unionByName(_across(large, sets, components(links), regions, percent))
+        links = links.unionByName(_across(large, sets, components(links), regions.select("pivot", F.col("wide").alias("chunks")), nodes.select("node", "n"), lambda: parts("c", "w", ACROSS / 2), percent))
     drop(sets)
     labels = components(links)
     classes = nodes.select("node", "name", "doc", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -305,24 +306,25 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
-    """Links between the chunks of large regions that labels do not know yet."""
-    r = 1 - percent / 100
-    known = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("ring", F.floor(F.col("d") / r).cast("int"))
-    known = materialise(known, "known")
+def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, sizes: DataFrame, blocks_of, percent: int) -> DataFrame:
+    """Links between the chunks of large regions that labels do not know yet.
+
+    Of a region, what isn't in the class of most of its nodes is compared with everything, in blocks against chunks; of a pair in
+    a task, the triangle inequality at the pivot decides first whether it needs looking at.
+    """
+    known = large.join(labels, "node", "left").join(sizes, "node").withColumn("label", F.coalesce("label", "node"))
+    known = materialise(known.select("pivot", "node", "d", "n", "label"), "known")
     bulk = known.groupBy("pivot", "label").count().groupBy("pivot").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"), F.count(F.lit(1)).alias("labels"))
     open_ = materialise(bulk.where("labels > 1").join(regions, "pivot"), "open")
-    rows = known.join(open_, "pivot").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = known.join(open_, "pivot")
     outside = rows.where("label <> bulk")
-    blocks = materialise(outside.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    # those outside the bulk go to all chunks of the rings that the triangle inequality leaves; all others go to all blocks of those
-    near = F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))
-    left = outside.join(blocks, "pivot").select("pivot", near.alias("ring"), "chunks", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int").alias("block"), "node", "label", "d")
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True)).drop("chunks")
-    right = rows.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outside", F.lit(False))
-    names = ["pivot", "ring", "chunk", "block", "node", "label", "d", "outside"]
+    blocks = outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).select("pivot", blocks_of().alias("blocks"))
+    blocks = materialise(blocks, "blocks")
+    left = outside.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True))
+    right = rows.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")).withColumn("outside", F.lit(False))
+    names = ["pivot", "chunk", "block", "node", "label", "d", "outside"]
     both = left.select(names).unionByName(right.select(names)).join(sets, "node")
-    keys = ["pivot", "ring", "chunk", "block"]
+    keys = ["pivot", "chunk", "block"]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in in_groups(batches, keys):

@@ -29,7 +29,7 @@ FLUSH = 150_000  #: features that a worker counts before it hands them on
 THRESHOLD = 0.5
 
 #: What a shown character may stand for, besides itself. Fixed values.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "%": "x", "&": "a"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "%": "x", "&": "a", "*": "aeiou"}
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 N = len(ALPHABET) + 2  #: 0 is a word's edge, N - 1 any letter that is not Latin
 SAME, IMITATED, DROPPED, IGNORED, REPEATED = (math.log(p) for p in (0.9, 0.7, 0.05, 0.0005, 0.3))
@@ -133,9 +133,9 @@ class Restorer:
 
 
 MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…¿¡–—"
-OUTER = "".join(c for c in MARKS if c not in LEET) + "".join(c for c in "!#%&+(<|")
+OUTER = "".join(c for c in MARKS if c not in LEET) + "".join(c for c in "!#%&+(<|*")
 #: a letter and an imitation or a mark inside, or a stretched letter
-DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£#%&]|[0-9@$!|+(<€£#%&][^\w\s]*[^\W\d_]|[^\W\d_][._*~^-]+[^\W\d_]|([^\W\d_])\1\1")
+DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£#%&*]|[0-9@$!|+(<€£#%&*][^\w\s]*[^\W\d_]|[^\W\d_][._~^-]+[^\W\d_]|([^\W\d_])\1\1")
 STRETCHED = re.compile(r"(.)\1\1")
 #: a mark twice or more at the end of a token is an ornament
 ENDS = re.compile(r"[.,;:]?([^\w\s])\1+[.,;:]?\Z")
