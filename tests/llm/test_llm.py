@@ -352,6 +352,32 @@ def test_copies_of_images_are_found(spark):
     assert media.copy_classes(flat.limit(0)).count() == 0
 
 
+def test_turned_and_rescaled_copies_without_grain_are_found(spark):
+    rows = []
+    for i in range(24):
+        rng = np.random.default_rng(i)
+        a = np.full((64, 64), 128.0)
+        for cx, cy, w, h, g in rng.random((40, 5)):
+            a[int(cy * 64) : int(cy * 64 + 4 + h * 21), int(cx * 64) : int(cx * 64 + 4 + w * 21)] += (g - 0.5) * 180
+        a = np.clip(a, 0, 255)
+        y, x = np.mgrid[:64, :64] - 31.5
+        c, s = np.cos(0.35), np.sin(0.35)
+        y, x = (np.clip(v + 31.5, 0, 62.999) for v in (c * y - s * x, s * y + c * x))
+        y0, x0 = y.astype(int), x.astype(int)
+        fy, fx = y - y0, x - x0
+        turned = a[y0, x0] * (1 - fy) * (1 - fx) + a[y0 + 1, x0] * fy * (1 - fx) + a[y0, x0 + 1] * (1 - fy) * fx + a[y0 + 1, x0 + 1] * fy * fx
+        for k, b in ((i, a), (100 + i, turned), (200 + i, media._zoom(a, 0.85))):
+            rows.append((k, b.shape[1], b.shape[0], b.astype(np.uint8).tobytes()))
+    got = media.copy_classes(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).toPandas().set_index("image_id")["class_id"]
+    assert len({got[i] for i in range(24)}) == 24
+    assert sum(got[100 + i] == got[i] for i in range(24)) >= 22 and sum(got[200 + i] == got[i] for i in range(24)) >= 22
+
+
+def test_larger_images_have_more_corners():
+    a = np.random.default_rng(0).integers(0, 256, (256, 256)).astype(np.uint8)
+    assert len(media.Describer()(a)) > 8 * len(media.Describer()(a[:64, :64])) > 0
+
+
 def test_language_model_prefers_real_order(spark, data):
     from lintlake.llm.common import table
 
