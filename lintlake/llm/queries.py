@@ -63,7 +63,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies among images drawn from all rows of embeddings, every tenth with a cropped and dimmed copy."""
+    """Copies among images drawn from all rows of embeddings, every tenth with a copy: cropped, turned, rescaled, noisy, edited or turned by a quarter."""
     from .media import copy_classes, rendered
 
     return copy_classes(rendered(table(spark, sf_dir, "embeddings")))

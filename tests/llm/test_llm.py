@@ -373,6 +373,14 @@ def test_turned_and_rescaled_copies_without_grain_are_found(spark):
     assert sum(got[100 + i] == got[i] for i in range(24)) >= 22 and sum(got[200 + i] == got[i] for i in range(24)) >= 22
 
 
+def test_drawn_copies_are_of_all_kinds(spark):
+    vec = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(16).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    got = {r.image_id: r for r in media.rendered(vec).collect()}
+    assert len({got[-4 - 10 * i].pixels for i in range(6)}) == 6 and [got[-4 - 10 * i].width == 64 for i in range(6)] == [False, True, False, True, True, True]
+    levels = [len(set(got[i].pixels)) for i in range(60)]
+    assert min(levels) < 120 < max(levels)  # with and without grain
+
+
 def test_larger_images_have_more_corners():
     a = np.random.default_rng(0).integers(0, 256, (256, 256)).astype(np.uint8)
     assert len(media.Describer()(a)) > 8 * len(media.Describer()(a[:64, :64])) > 0
