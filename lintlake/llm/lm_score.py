@@ -1,51 +1,56 @@
 """Masked pseudo-likelihood: how well each token of a text follows from the tokens on both of its sides.
 
-Tokens are words: those of up to five letters as they are, longer ones by their last three letters. The commonest of these in the corpus have a
-number of their own, all others share one. A network of one hidden layer, in numpy, sees the tokens before and after a masked
-one and gives a distribution over the vocabulary. It is trained on the whole corpus: each partition makes steps from the common
-parameters on positions of all its documents, the results are averaged by their numbers of positions, and so on, round by round. A text's
-score is the sum of the log-probabilities of all its tokens.
+Tokens are words. The commonest have a place of their own in a softmax over the head; its place 0 stands for the tail, whose
+words are told apart by a second softmax over groups and a third over a group's members: the next commonest have a member each, all others share
+BUCKETS by a hash, evenly by the number of words there. A network of one hidden layer, in numpy, sees the tokens before and after a masked
+one. It is trained on the whole corpus: each partition makes steps from the common parameters on positions of all its documents, the results are
+averaged by their numbers of positions, and so on, round by round; of each text one position in STRIDE trains in a round. A text's score is the sum of
+the log-probabilities of all its tokens.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
-VOCABULARY = 255  #: tokens with a number of their own; 0 is all others, and what lies beyond a text's ends
+VOCABULARY = 255  #: tokens in the head; as a token, 0 is what lies beyond a text's ends, as an outcome, the tail
+GROUPS, MEMBERS = 64, 64  #: of the tail
+BUCKETS = 1024  #: of the tail's GROUPS * MEMBERS places, those that words share
+TAIL = GROUPS * MEMBERS
 SIDE = 2  #: tokens seen on each side
 EMBED, HIDDEN = 16, 32
 ROUNDS = 2
 STRIDE = 16  #: one of so many positions of each text is trained on in a round, another one in each
-BATCH, RATE = 256, 4e-3
+BATCH, RATE = 2048, 4e-3
 CACHED_WORDS = 200_000
 FLUSH = 300_000
 AT_ONCE = 2048  #: positions that are scored at a time
 
 
-def unit(word: bytes) -> str:
-    w = word.decode("utf-8", "replace")
-    return w if len(w) <= 5 else f"-{w[-3:]}"
-
-
 def units(text: str | None, known: dict[bytes, str]) -> list[str]:
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if len(known) > CACHED_WORDS:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = unit(w)
+        known[w] = w.decode("utf-8", "replace")
     return list(map(known.__getitem__, words))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The commonest units of all documents and their counts, ties by name."""
+def place(word: str, number: dict[str, int]) -> int:
+    """The token of a word: its own, or a bucket's."""
+    return number.get(word) or VOCABULARY + 1 + TAIL - BUCKETS + crc32(word.encode("utf-8", "replace")) % BUCKETS
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY + TAIL - BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, counts, kinds): the commonest words of all documents, ties by name; of each token, how often it occurs and how many words share it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, str] = {}
@@ -58,12 +63,20 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[tuple[str, int]]
                     seen.clear()
         yield pd.DataFrame({"u": list(seen), "n": list(seen.values())}).astype({"u": str, "n": "int64"})
 
-    counts = docs.mapInPandas(count, "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    return [(u, n) for u, n in counts.orderBy(F.desc("n"), "u").limit(size).collect()]
+    words = materialise(docs.mapInPandas(count, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "lm-words")
+    top = [(u, n) for u, n in words.orderBy(F.desc("n"), "u").limit(size).collect()]
+    counts, kinds = np.zeros(VOCABULARY + 1 + TAIL), np.ones(VOCABULARY + 1 + TAIL)
+    counts[1 : len(top) + 1] = [n for _, n in top]
+    bucket = F.pmod(F.crc32(F.col("u").cast("binary")), F.lit(BUCKETS)).alias("b")
+    own = docs.sparkSession.createDataFrame([(u,) for u, _ in top], "u string")
+    for b, n, k in words.join(F.broadcast(own), "u", "left_anti").groupBy(bucket).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        counts[VOCABULARY + 1 + TAIL - BUCKETS + b], kinds[VOCABULARY + 1 + TAIL - BUCKETS + b] = n, k
+    drop(words)
+    return [u for u, _ in top], counts, kinds
 
 
 def encode(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(k, ids): a byte for each token."""
+    """(k, ids): two bytes for each token."""
     number = {u: i + 1 for i, u in enumerate(vocab)}
     kind = docs.schema["k"].dataType.simpleString()
 
@@ -76,21 +89,29 @@ def encode(docs: DataFrame, vocab: list[str]) -> DataFrame:
                 if len(known) > CACHED_WORDS:
                     known.clear()
                 for w in set(words).difference(known):
-                    known[w] = number.get(unit(w), 0)
-                out.append(bytes(map(known.__getitem__, words)))
+                    known[w] = place(w.decode("utf-8", "replace"), number)
+                out.append(np.fromiter(map(known.__getitem__, words), "<u2", len(words)).tobytes())
             yield pd.DataFrame({"k": b["k"], "ids": out}).astype({"k": "Int64"} if kind in ("bigint", "int") else {})
 
     return docs.mapInPandas(run, f"k {kind}, ids binary")
 
 
-SHAPES = {"embed": (VOCABULARY + 1, EMBED), "into": (2 * SIDE, EMBED, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, VOCABULARY + 1), "rest": (VOCABULARY + 1,)}
+SHAPES = {"embed": (VOCABULARY + 1 + TAIL, EMBED), "into": (2 * SIDE, EMBED, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, VOCABULARY + 1), "rest": (VOCABULARY + 1,), "group": (HIDDEN, GROUPS), "group_rest": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_rest": (GROUPS, MEMBERS)}
 
 
 def initial(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    """counts: of all tokens, or of the head's outcomes alone."""
     rng = np.random.default_rng(seed)
     p = {k: rng.standard_normal(s).astype(np.float32) * 0.1 for k, s in SHAPES.items()}
     p["bias"][:] = 0
-    p["rest"] = np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
+    tail = counts[VOCABULARY + 1 :] if len(counts) > VOCABULARY + 1 else np.ones(TAIL)
+    head = counts[: VOCABULARY + 1].astype(float)
+    if len(counts) > VOCABULARY + 1:
+        head[0] = tail.sum()
+    tail = tail.reshape(GROUPS, MEMBERS) + 0.1
+    p["rest"] = np.log((head + 1) / (head + 1).sum()).astype(np.float32)
+    p["group_rest"] = np.log(tail.sum(1) / tail.sum()).astype(np.float32)
+    p["member_rest"] = np.log(tail / tail.sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
@@ -106,25 +127,38 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, text): each position of the texts, with SIDE tokens on both sides."""
-    gap = np.zeros(SIDE, np.uint8)
-    parts = [gap]
-    for x in ids:
-        parts += [np.frombuffer(x, np.uint8), gap]
+def windows(ids: list[bytes], kind: str = "u1") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, token, text): each position of the texts, with SIDE tokens on both sides. kind: the numbers' type in ids."""
+    gap = np.zeros(SIDE, kind)
+    parts, arrays = [gap], [np.frombuffer(x, kind) for x in ids]
+    for x in arrays:
+        parts += [x, gap]
     whole = np.concatenate(parts)
-    n = np.array([len(x) for x in ids], np.int64)
+    n = np.array([len(x) for x in arrays], np.int64)
     text = np.repeat(np.arange(len(ids)), n)
     at = np.arange(n.sum()) + SIDE * (text + 1)
     steps = [s for s in range(-SIDE, SIDE + 1) if s]
     return np.stack([whole[at + s] for s in steps]), whole[at], text
 
 
-def softmax_parts(h: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    z = h @ p["out"]
-    z += p["rest"]
+def softmax_parts(h: np.ndarray, out: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities, probabilities)"""
+    z = h @ out
+    z += rest
     z -= z.max(1, keepdims=True)
-    return z, np.exp(z).sum(1)
+    e = np.exp(z)
+    total = e.sum(1, keepdims=True)
+    e /= total
+    z -= np.log(total)
+    return z, e
+
+
+def in_groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(group[at[0]]), at
 
 
 def train(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, rate: float = RATE) -> None:
@@ -132,16 +166,35 @@ def train(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, rate
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
     for step, lo in enumerate(range(0, len(token), BATCH), 1):
-        c, y = context[:, lo : lo + BATCH], token[lo : lo + BATCH]
+        c, y = context[:, lo : lo + BATCH], token[lo : lo + BATCH].astype(np.int64)
+        n = len(y)
         e = p["embed"][c]  # side, batch, embed
-        h = np.tanh(np.einsum("sbe,seh->bh", e, p["into"], optimize=True) + p["bias"])
-        z, total = softmax_parts(h, p)
-        dz = np.exp(z) / total[:, None]
-        dz[np.arange(len(y)), y] -= 1
-        dz /= len(y)
-        dh = (dz @ p["out"].T) * (1 - h * h)
-        de = np.einsum("bh,seh->sbe", dh, p["into"], optimize=True)
-        g = {"out": h.T @ dz, "rest": dz.sum(0), "bias": dh.sum(0), "into": np.einsum("sbe,bh->seh", e, dh, optimize=True), "embed": np.zeros_like(p["embed"])}
+        flat_e = e.transpose(1, 0, 2).reshape(n, -1)
+        into = p["into"].reshape(-1, HIDDEN)
+        h = np.tanh(flat_e @ into + p["bias"])
+        dz = softmax_parts(h, p["out"], p["rest"])[1]
+        dz[np.arange(n), np.where(y > VOCABULARY, 0, y)] -= 1
+        dz /= n
+        dh = dz @ p["out"].T
+        g = {"out": h.T @ dz, "rest": dz.sum(0), "member": np.zeros_like(p["member"]), "member_rest": np.zeros_like(p["member_rest"])}
+        tail = np.flatnonzero(y > VOCABULARY)
+        group, member = np.divmod(y[tail] - VOCABULARY - 1, MEMBERS)
+        ht = h[tail]
+        dz = softmax_parts(ht, p["group"], p["group_rest"])[1] if len(tail) else np.zeros((0, GROUPS), np.float32)
+        dz[np.arange(len(tail)), group] -= 1
+        dz /= n
+        g["group"], g["group_rest"] = ht.T @ dz, dz.sum(0)
+        dh[tail] += dz @ p["group"].T
+        for q, at in in_groups(group):
+            dz = softmax_parts(ht[at], p["member"][q], p["member_rest"][q])[1]
+            dz[np.arange(len(at)), member[at]] -= 1
+            dz /= n
+            g["member"][q], g["member_rest"][q] = ht[at].T @ dz, dz.sum(0)
+            dh[tail[at]] += dz @ p["member"][q].T
+        dh *= 1 - h * h
+        g["bias"], g["into"] = dh.sum(0), (flat_e.T @ dh).reshape(p["into"].shape)
+        de = (dh @ into.T).reshape(n, 2 * SIDE, EMBED).transpose(1, 0, 2)
+        g["embed"] = np.zeros_like(p["embed"])
         np.add.at(g["embed"], c, de)
         for k in p:
             m[k] += 0.1 * (g[k] - m[k])
@@ -149,17 +202,30 @@ def train(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, rate
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
 
 
-def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray) -> np.ndarray:
+def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Of each token; kinds: of how many words each token stands for one."""
     tables = np.einsum("ve,seh->svh", p["embed"], p["into"])
     out = np.empty(len(token))
     for lo in range(0, len(token), AT_ONCE):
-        c, y = context[:, lo : lo + AT_ONCE], token[lo : lo + AT_ONCE]
+        c, y = context[:, lo : lo + AT_ONCE], token[lo : lo + AT_ONCE].astype(np.int64)
         h = np.tanh(sum(tables[s][c[s]] for s in range(2 * SIDE)) + p["bias"])
-        z, total = softmax_parts(h, p)
-        out[lo : lo + AT_ONCE] = z[np.arange(len(y)), y] - np.log(total)
+        got = softmax_parts(h, p["out"], p["rest"])[0][np.arange(len(y)), np.where(y > VOCABULARY, 0, y)].astype(float)
+        tail = np.flatnonzero(y > VOCABULARY)
+        if len(tail):
+            group, member = np.divmod(y[tail] - VOCABULARY - 1, MEMBERS)
+            got[tail] += softmax_parts(h[tail], p["group"], p["group_rest"])[0][np.arange(len(tail)), group]
+            for q, at in in_groups(group):
+                got[tail[at]] += softmax_parts(h[tail[at]], p["member"][q], p["member_rest"][q])[0][np.arange(len(at)), member[at]]
+        out[lo : lo + AT_ONCE] = got if kinds is None else got - np.log(kinds[y])
     return out
 
 
+def trained(text: np.ndarray, r: int, stride: int) -> np.ndarray:
+    """The positions of a round: of each text every stride-th, from the round's own start. stride rounds have all positions."""
+    in_text = np.arange(len(text)) - np.searchsorted(text, text)
+    return np.flatnonzero(in_text % stride == r % stride)
+
+
 def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
     p = initial(counts)
     spark = encoded.sparkSession
@@ -171,10 +237,8 @@ def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, stride: in
             own = {k: x.copy() for k, x in own.items()}
             for b in batches:
                 for lo in range(0, len(b), 500):
-                    context, token, _ = windows(list(b["ids"].iloc[lo : lo + 500]))
-                    # positions of a text follow each other here; a stride from the round's own start meets all texts
-                    at = np.arange((r * 7 + 3) % stride, len(token), stride)
-                    at = np.random.default_rng(lo).permutation(at)
+                    context, token, text = windows(list(b["ids"].iloc[lo : lo + 500]), "<u2")
+                    at = np.random.default_rng(lo).permutation(trained(text, r, stride))
                     if len(at):
                         train(own, context[:, at], token[at], RATE / (1 + r))
                         n += len(at)
@@ -198,24 +262,21 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id",
     empty table gives no rows.
     """
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    vocab = vocabulary(base)
-    encoded = materialise(encode(base, [u for u, _ in vocab]), "lm-ids")
-    counts = np.zeros(VOCABULARY + 1)
-    counts[1 : len(vocab) + 1] = [n for _, n in vocab]
-    counts[0] = max(1.0, counts.sum() * 0.05)
+    vocab, counts, kinds = vocabulary(base)
+    encoded = materialise(encode(base, vocab), "lm-ids")
     shared = docs.sparkSession.sparkContext.broadcast(flat(fit(encoded, counts, rounds, stride)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = unflat(shared.value)
         for b in batches:
-            n = np.array([len(x) for x in b["ids"]], np.int64)
+            n = np.array([len(x) // 2 for x in b["ids"]], np.int64)
             total = np.zeros(len(b))
             ends = np.cumsum(n)
             lo = 0
             while lo < len(b):  # so many texts that their positions fit in memory
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
-                context, token, of = windows(list(b["ids"].iloc[lo:hi]))
-                total[lo:hi] = np.bincount(of, log_probabilities(p, context, token), minlength=hi - lo)
+                context, token, of = windows(list(b["ids"].iloc[lo:hi]), "<u2")
+                total[lo:hi] = np.bincount(of, log_probabilities(p, context, token, kinds), minlength=hi - lo)
                 lo = hi
             yield pd.DataFrame({"k": b["k"], "n_tokens": n, "log_likelihood": total}).astype({"k": b["k"].dtype})
 

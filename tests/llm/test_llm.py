@@ -415,6 +415,30 @@ def test_language_model_matches_direct_sum():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_language_model_tells_rare_words_apart():
+    ids = [np.array([300, 1, 2], "<u2").tobytes(), np.array([2000, 1, 2], "<u2").tobytes()] * 200
+    context, token, _ = lm_score.windows(ids, "<u2")
+    counts = np.ones(lm_score.VOCABULARY + 1 + lm_score.TAIL)
+    p = lm_score.initial(counts)
+    total = [sum(np.exp(lm_score.log_probabilities(p, np.repeat(context[:, :1], 256, 1), np.arange(lo, lo + 256)))) for lo in range(256, 256 + lm_score.TAIL, 256)]
+    head = np.exp(lm_score.log_probabilities(p, np.repeat(context[:, :1], 255, 1), np.arange(1, 256))).sum()
+    pad = np.exp(lm_score.log_probabilities(p, context[:, :1], np.array([0])))[0]  # the tail as a whole
+    assert abs(sum(total) - pad) < 1e-3 and abs(pad + head - 1) < 1e-3
+    for _ in range(40):
+        lm_score.train(p, context, token)
+    seen, other = lm_score.log_probabilities(p, context[:, :1].repeat(2, 1), np.array([300, 700]))
+    assert seen > other + 2 and lm_score.place("word", {"word": 5}) == 5 and lm_score.place("never", {}) > lm_score.VOCABULARY
+
+
+def test_language_model_counts_shared_words(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "c a")], "k long, t string")
+    words, counts, kinds = lm_score.vocabulary(docs, 1)
+    assert words == ["a"] and counts[1] == 3 and counts[0] == 0 and counts[lm_score.VOCABULARY + 1 :].sum() == 2
+    assert kinds[lm_score.place("b", {})] == 1 + (lm_score.place("b", {}) == lm_score.place("c", {}))
+    got = {r.doc_id: r.mean_log_likelihood for r in lm_score.pseudo_likelihood(docs.select(F.col("k").alias("doc_id"), F.col("t").alias("text"))).collect()}
+    assert all(x < 0 for x in got.values())
+
+
 def test_language_model_on_odd_tables(spark):
     df = odd_docs(spark)
     got = lm_score.pseudo_likelihood(df).toPandas()
