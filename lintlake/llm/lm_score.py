@@ -4,7 +4,7 @@ Tokens are words. The commonest have a place of their own in a softmax over the
 words are told apart by a second softmax over groups and a third over a group's members: the next commonest have a member each, all others share
 BUCKETS by a hash, evenly by the number of words there. A network of one hidden layer, in numpy, sees the tokens before and after a masked
 one. It is trained on the whole corpus: each partition makes steps from the common parameters on positions of all its documents, the results are
-averaged by their numbers of positions, and so on, round by round; of each text one position in STRIDE trains in a round. A text's score is the sum of
+averaged by their numbers of positions, and so on, round by round; each position is trained on in one of the rounds. A text's score is the sum of
 the log-probabilities of all its tokens.
 """
 
@@ -28,7 +28,7 @@ TAIL = GROUPS * MEMBERS
 SIDE = 2  #: tokens seen on each side
 EMBED, HIDDEN = 16, 32
 ROUNDS = 2
-STRIDE = 16  #: one of so many positions of each text is trained on in a round, another one in each
+STRIDE = 2  #: one of so many positions of each text is trained on in a round, another one in each; no more than ROUNDS, so that none is left out
 BATCH, RATE = 2048, 4e-3
 CACHED_WORDS = 200_000
 FLUSH = 300_000

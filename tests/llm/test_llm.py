@@ -430,6 +430,12 @@ def test_language_model_tells_rare_words_apart():
     assert seen > other + 2 and lm_score.place("word", {"word": 5}) == 5 and lm_score.place("never", {}) > lm_score.VOCABULARY
 
 
+def test_language_model_trains_on_every_position():
+    _, token, text = lm_score.windows([bytes(5), b"", bytes(1), bytes(8)])
+    at = np.concatenate([lm_score.trained(text, r, lm_score.STRIDE) for r in range(lm_score.ROUNDS)])
+    assert sorted(at) == list(range(len(token)))
+
+
 def test_language_model_counts_shared_words(spark):
     docs = spark.createDataFrame([(1, "a a b"), (2, "c a")], "k long, t string")
     words, counts, kinds = lm_score.vocabulary(docs, 1)
