@@ -273,11 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     counts = rows.where("half = 0").select("t", "y").mapInPandas(count, "f string, y int, n long")
     per = counts.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    per = per.where((F.col("f") == "") | (F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") * 4 > F.col("clean")))
+    n_of = {bool(y): n for y, n in rows.where("half = 0").groupBy(F.col("y") > 0).count().collect()}
+    n_toxic, n_clean = n_of.get(True, 0), n_of.get(False, 0)
+    # the bound of learn_weights, with a little room for rounding
+    odds = F.log((F.col("toxic") - 0.5 * F.sqrt("toxic") + 0.1) / (n_toxic + 1)) - F.log((F.col("clean") + F.sqrt("clean") + 0.5) / (n_clean + 1))
+    per = per.where((F.col("f") != "") & (F.col("toxic") >= MIN_TOXIC_DOCS) & (odds > 1.0 - 1e-6))
     toxic, clean = Counter(), Counter()
     for f, t, c in per.collect():  # bounded with the labelled sample
         toxic[f], clean[f] = t, c
-    n_toxic, n_clean = toxic.pop("", 0), clean.pop("", 0)
     weights = learn_weights(toxic, clean, n_toxic, n_clean)
     share = n_toxic / max(1, n_toxic + n_clean)
     known = rows.sparkSession.sparkContext.broadcast((model, weights))

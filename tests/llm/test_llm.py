@@ -137,6 +137,17 @@ def test_toxicity_on_held_out_labels(labelled):
     assert auc(held["toxic"], held["p"]) > 0.8
 
 
+def test_toxicity_weighs_words_of_rare_labels(spark):
+    words = [f"{'bcdfghjklm'[i // 10]}a{'nprstvwxyz'[i % 10]}e" for i in range(100)]
+    rng, rows = random.Random(2), []
+    for i in range(2000):
+        toxic = i < 60
+        sign = i < 54 or 60 <= i < 360  # nine tenths of the toxic, fewer than a sixth of the clean
+        rows.append((i, " ".join([rng.choice(words) for _ in range(6)] + ["zorkum"] * sign), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert any("zork" in f for f in toxicity.fit(df, df)[1])
+
+
 def test_restorer_sees_through_disguise():
     texts = ["you are a moron and a clown and stupid trash", "what a disgusting idiot that loser is"] * 20
     r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(texts, toxicity.symbol_table())))
