@@ -1,16 +1,18 @@
 """Masked pseudo-likelihood: how well each token of a text follows from the tokens on both of its sides.
 
-Tokens are words. The commonest have a place of their own in a softmax over the head; its place 0 stands for the tail, whose
-words are told apart by a second softmax over groups and a third over a group's members: the next commonest have a member each, all others share
-BUCKETS by a hash, evenly by the number of words there. A network of one hidden layer, in numpy, sees the tokens before and after a masked
-one. It is trained on the whole corpus: each partition makes steps from the common parameters on positions of all its documents, the results are
-averaged by their numbers of positions, and so on, round by round; each position is trained on in one of the rounds. A text's score is the sum of
-the log-probabilities of all its tokens.
+Tokens are words. The commonest are tokens of their own; all others share BUCKETS tokens by a hash, and within a bucket a word has the share that
+its count in the corpus says, kept for CELLS cells of the hash. A network of one hidden layer, in numpy, sees SIDE tokens before and SIDE after the
+masked one (0 stands for what lies beyond a text's ends) and gives a softmax over groups of tokens and one over the group's members. A text's score
+is the sum of the log-probabilities of all its words.
+
+The network is trained on every position of the corpus, each once. Texts are cut into pieces (with the tokens around the cut) and dealt to shards by
+a hash; in each round every shard makes steps from the common parameters on its own share of positions, and the results are averaged by their numbers of
+positions. Shards, their order and their number come from the data alone, so the scores don't depend on how the table is partitioned
+but for the rounding of sums (below 1e-6 of a score).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -20,98 +22,118 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialise
+from .jaccard_join import in_groups
 
-VOCABULARY = 255  #: tokens in the head; as a token, 0 is what lies beyond a text's ends, as an outcome, the tail
-GROUPS, MEMBERS = 64, 64  #: of the tail
-BUCKETS = 1024  #: of the tail's GROUPS * MEMBERS places, those that words share
-TAIL = GROUPS * MEMBERS
+GROUPS, MEMBERS = 64, 64
+TOKENS = GROUPS * MEMBERS
+BUCKETS = 1024  #: of the tokens, those that words share
+CELLS = 1 << 19  #: of the hash, for the counts of words that share a token
 SIDE = 2  #: tokens seen on each side
 EMBED, HIDDEN = 16, 32
-ROUNDS = 2
-STRIDE = 2  #: one of so many positions of each text is trained on in a round, another one in each; no more than ROUNDS, so that none is left out
-BATCH, RATE = 2048, 4e-3
+ROUNDS = 2  #: a position is trained on in one of them
+SHARD = 2_000_000  #: positions of a shard, about
+PIECE = 16_384  #: positions of a piece, at most
+BATCH, RATE = 8192, 3e-2  #: the rate falls evenly to 0 over the rounds
+BLOCK = 8192  #: parameters that travel in one row
 CACHED_WORDS = 200_000
-FLUSH = 300_000
-AT_ONCE = 2048  #: positions that are scored at a time
+FLUSH = 4_000_000  #: words that are counted at a time
+AT_ONCE = 16_384  #: positions that are scored at a time
 
+SHAPES = {"embed": (TOKENS + 1, EMBED), "into": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_rest": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_rest": (GROUPS, MEMBERS)}
+STEPS = [s for s in range(-SIDE, SIDE + 1) if s]
 
-def units(text: str | None, known: dict[bytes, str]) -> list[str]:
+
+def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """A 32-bit number for each word in lower case."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if len(known) > CACHED_WORDS:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = w.decode("utf-8", "replace")
-    return list(map(known.__getitem__, words))
-
-
-def place(word: str, number: dict[str, int]) -> int:
-    """The token of a word: its own, or a bucket's."""
-    return number.get(word) or VOCABULARY + 1 + TAIL - BUCKETS + crc32(word.encode("utf-8", "replace")) % BUCKETS
+        known[w] = crc32(w)
+    return np.fromiter(map(known.__getitem__, words), "<u4", len(words))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY + TAIL - BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, counts, kinds): the commonest words of all documents, ties by name; of each token, how often it occurs and how many words share it."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, str] = {}
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b["t"]:
-                seen.update(units(t, known))
-                if len(seen) > FLUSH:
-                    yield pd.DataFrame({"u": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"u": list(seen), "n": list(seen.values())}).astype({"u": str, "n": "int64"})
-
-    words = materialise(docs.mapInPandas(count, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "lm-words")
-    top = [(u, n) for u, n in words.orderBy(F.desc("n"), "u").limit(size).collect()]
-    counts, kinds = np.zeros(VOCABULARY + 1 + TAIL), np.ones(VOCABULARY + 1 + TAIL)
-    counts[1 : len(top) + 1] = [n for _, n in top]
-    bucket = F.pmod(F.crc32(F.col("u").cast("binary")), F.lit(BUCKETS)).alias("b")
-    own = docs.sparkSession.createDataFrame([(u,) for u, _ in top], "u string")
-    for b, n, k in words.join(F.broadcast(own), "u", "left_anti").groupBy(bucket).agg(F.sum("n"), F.count(F.lit(1))).collect():
-        counts[VOCABULARY + 1 + TAIL - BUCKETS + b], kinds[VOCABULARY + 1 + TAIL - BUCKETS + b] = n, k
-    drop(words)
-    return [u for u, _ in top], counts, kinds
-
-
-def encode(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(k, ids): two bytes for each token."""
-    number = {u: i + 1 for i, u in enumerate(vocab)}
+def hashed(docs: DataFrame) -> DataFrame:
+    """(k, words): the words of each text, four bytes each."""
     kind = docs.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         for b in batches:
-            out = []
-            for t in b["t"]:
-                words = (t or "").lower().encode("utf-8", "surrogatepass").split()
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = place(w.decode("utf-8", "replace"), number)
-                out.append(np.fromiter(map(known.__getitem__, words), "<u2", len(words)).tobytes())
-            yield pd.DataFrame({"k": b["k"], "ids": out}).astype({"k": "Int64"} if kind in ("bigint", "int") else {})
+            yield pd.DataFrame({"k": b["k"], "words": [word_hashes(t, known).tobytes() for t in b["t"]]}).astype({"k": "Int64"} if kind in ("bigint", "int") else {})
+
+    return docs.mapInPandas(run, f"k {kind}, words binary")
+
+
+class Vocabulary:
+    """top: the hashes of the words with a token of their own, commonest first, and their counts; cells: (cell, count, words) of all others."""
 
-    return docs.mapInPandas(run, f"k {kind}, ids binary")
+    def __init__(self, top: np.ndarray, counts: np.ndarray, cells: list[np.ndarray]):
+        self.owner, self.own = np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.uint16)
+        at = top[::-1] % CELLS  # of two words in a cell the commoner has it
+        self.owner[at], self.own[at] = top[::-1], np.arange(len(top), 0, -1)
+        self.counts = np.zeros(TOKENS + 1)
+        self.counts[1 : len(top) + 1] = counts
+        cell, n, words = cells
+        bucket = self.bucket(cell)
+        self.counts += np.bincount(bucket, n, TOKENS + 1)
+        self.share = np.zeros(CELLS, np.float32)  # log of a word's share of its bucket
+        self.share[cell] = np.log(n / np.maximum(words, 1) / self.counts[bucket])
+        lost = top[self.owner[top % CELLS] != top]
+        if len(lost):  # words whose cell is another's: as one more word of their bucket
+            n = counts[np.isin(top, lost)]
+            self.counts += np.bincount(self.bucket(lost), n, TOKENS + 1)
+            self.share[lost % CELLS] = np.log(n / self.counts[self.bucket(lost)])
 
+    @staticmethod
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return TOKENS - BUCKETS + 1 + (h % BUCKETS).astype(np.int64)
 
-SHAPES = {"embed": (VOCABULARY + 1 + TAIL, EMBED), "into": (2 * SIDE, EMBED, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, VOCABULARY + 1), "rest": (VOCABULARY + 1,), "group": (HIDDEN, GROUPS), "group_rest": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_rest": (GROUPS, MEMBERS)}
+    def tokens(self, words: np.ndarray) -> np.ndarray:
+        cell = words % CELLS
+        return np.where((self.owner[cell] == words) & (self.own[cell] > 0), self.own[cell], self.bucket(words)).astype("<u2")
+
+    def shares(self, words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return np.where(tokens > TOKENS - BUCKETS, self.share[words % CELLS], 0)
+
+
+def vocabulary(words: DataFrame) -> tuple[Vocabulary, int]:
+    """Of hashed(): the vocabulary, and how many words there are. The driver gets the commonest TOKENS - BUCKETS and a row per cell at most."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            for w in b["words"]:
+                held.append(np.frombuffer(w, "<u4"))
+                n += len(held[-1])
+                if n > FLUSH:
+                    yield rows(held)
+                    held, n = [], 0
+        yield rows(held)
+
+    def rows(held: list[np.ndarray]) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_counts=True)
+        return pd.DataFrame({"h": h.astype(np.int64), "n": n})
+
+    per = materialise(words.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+    top = per.orderBy(F.desc("n"), "h").limit(TOKENS - BUCKETS)
+    got = top.collect()
+    own = F.broadcast(words.sparkSession.createDataFrame([(r[0],) for r in got], "h long"))
+    cells = per.join(own, "h", "left_anti").groupBy(F.pmod("h", F.lit(CELLS)).alias("cell")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
+    cells = [cells[c].to_numpy().astype(np.int64) for c in ("cell", "n", "words")]
+    total = sum(r[1] for r in got) + int(cells[1].sum())
+    drop(per)
+    return Vocabulary(np.array([r[0] for r in got], np.uint32), np.array([r[1] for r in got], float), cells), total
 
 
 def initial(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """counts: of all tokens, or of the head's outcomes alone."""
+    """counts: of all tokens."""
     rng = np.random.default_rng(seed)
     p = {k: rng.standard_normal(s).astype(np.float32) * 0.1 for k, s in SHAPES.items()}
     p["bias"][:] = 0
-    tail = counts[VOCABULARY + 1 :] if len(counts) > VOCABULARY + 1 else np.ones(TAIL)
-    head = counts[: VOCABULARY + 1].astype(float)
-    if len(counts) > VOCABULARY + 1:
-        head[0] = tail.sum()
-    tail = tail.reshape(GROUPS, MEMBERS) + 0.1
-    p["rest"] = np.log((head + 1) / (head + 1).sum()).astype(np.float32)
-    p["group_rest"] = np.log(tail.sum(1) / tail.sum()).astype(np.float32)
-    p["member_rest"] = np.log(tail / tail.sum(1, keepdims=True)).astype(np.float32)
+    n = counts[1:].reshape(GROUPS, MEMBERS) + 0.1
+    p["group_rest"] = np.log(n.sum(1) / n.sum()).astype(np.float32)
+    p["member_rest"] = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
@@ -123,162 +145,204 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = np.asarray(v[at : at + n], np.float32).reshape(s), at + n
+        out[k], at = np.array(v[at : at + n], np.float32).reshape(s), at + n
     return out
 
 
-def windows(ids: list[bytes], kind: str = "u1") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, text): each position of the texts, with SIDE tokens on both sides. kind: the numbers' type in ids."""
-    gap = np.zeros(SIDE, kind)
-    parts, arrays = [gap], [np.frombuffer(x, kind) for x in ids]
-    for x in arrays:
-        parts += [x, gap]
-    whole = np.concatenate(parts)
-    n = np.array([len(x) for x in arrays], np.int64)
-    text = np.repeat(np.arange(len(ids)), n)
-    at = np.arange(n.sum()) + SIDE * (text + 1)
-    steps = [s for s in range(-SIDE, SIDE + 1) if s]
-    return np.stack([whole[at + s] for s in steps]), whole[at], text
+def hidden(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context tokens, their embeddings, hidden layer) of the positions."""
+    c = np.stack([whole[at + s] for s in STEPS], axis=1)
+    e = p["embed"].take(c, axis=0).reshape(len(at), -1)
+    return c, e, np.tanh(e @ p["into"] + p["bias"])
 
 
-def softmax_parts(h: np.ndarray, out: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probabilities, probabilities)"""
+def exponentials(h: np.ndarray, out: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits, their exponentials, the sums of those)"""
     z = h @ out
     z += rest
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -80, 80, out=z)
     e = np.exp(z)
-    total = e.sum(1, keepdims=True)
-    e /= total
-    z -= np.log(total)
-    return z, e
-
-
-def in_groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order])) + 1
-    for at in np.split(order, cuts):
-        if len(at):
-            yield int(group[at[0]]), at
-
-
-def train(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, rate: float = RATE) -> None:
-    """Adam steps on mini-batches, in order; p changes in place."""
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v = {k: np.zeros_like(x) for k, x in p.items()}
-    for step, lo in enumerate(range(0, len(token), BATCH), 1):
-        c, y = context[:, lo : lo + BATCH], token[lo : lo + BATCH].astype(np.int64)
-        n = len(y)
-        e = p["embed"][c]  # side, batch, embed
-        flat_e = e.transpose(1, 0, 2).reshape(n, -1)
-        into = p["into"].reshape(-1, HIDDEN)
-        h = np.tanh(flat_e @ into + p["bias"])
-        dz = softmax_parts(h, p["out"], p["rest"])[1]
-        dz[np.arange(n), np.where(y > VOCABULARY, 0, y)] -= 1
-        dz /= n
-        dh = dz @ p["out"].T
-        g = {"out": h.T @ dz, "rest": dz.sum(0), "member": np.zeros_like(p["member"]), "member_rest": np.zeros_like(p["member_rest"])}
-        tail = np.flatnonzero(y > VOCABULARY)
-        group, member = np.divmod(y[tail] - VOCABULARY - 1, MEMBERS)
-        ht = h[tail]
-        dz = softmax_parts(ht, p["group"], p["group_rest"])[1] if len(tail) else np.zeros((0, GROUPS), np.float32)
-        dz[np.arange(len(tail)), group] -= 1
-        dz /= n
-        g["group"], g["group_rest"] = ht.T @ dz, dz.sum(0)
-        dh[tail] += dz @ p["group"].T
-        for q, at in in_groups(group):
-            dz = softmax_parts(ht[at], p["member"][q], p["member_rest"][q])[1]
-            dz[np.arange(len(at)), member[at]] -= 1
-            dz /= n
-            g["member"][q], g["member_rest"][q] = ht[at].T @ dz, dz.sum(0)
-            dh[tail[at]] += dz @ p["member"][q].T
-        dh *= 1 - h * h
-        g["bias"], g["into"] = dh.sum(0), (flat_e.T @ dh).reshape(p["into"].shape)
-        de = (dh @ into.T).reshape(n, 2 * SIDE, EMBED).transpose(1, 0, 2)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], c, de)
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] ** 2 - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-
-
-def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, token: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
-    """Of each token; kinds: of how many words each token stands for one."""
-    tables = np.einsum("ve,seh->svh", p["embed"], p["into"])
-    out = np.empty(len(token))
-    for lo in range(0, len(token), AT_ONCE):
-        c, y = context[:, lo : lo + AT_ONCE], token[lo : lo + AT_ONCE].astype(np.int64)
-        h = np.tanh(sum(tables[s][c[s]] for s in range(2 * SIDE)) + p["bias"])
-        got = softmax_parts(h, p["out"], p["rest"])[0][np.arange(len(y)), np.where(y > VOCABULARY, 0, y)].astype(float)
-        tail = np.flatnonzero(y > VOCABULARY)
-        if len(tail):
-            group, member = np.divmod(y[tail] - VOCABULARY - 1, MEMBERS)
-            got[tail] += softmax_parts(h[tail], p["group"], p["group_rest"])[0][np.arange(len(tail)), group]
-            for q, at in in_groups(group):
-                got[tail[at]] += softmax_parts(h[tail[at]], p["member"][q], p["member_rest"][q])[0][np.arange(len(at)), member[at]]
-        out[lo : lo + AT_ONCE] = got if kinds is None else got - np.log(kinds[y])
+    return z, e, e.sum(1)
+
+
+def by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the positions in which groups are together, and where each is."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+    return order, [(g, slice(lo, hi)) for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)) if hi > lo]
+
+
+def gradient(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean loss over the positions."""
+    n, rows = len(at), np.arange(len(at))
+    group, member = np.divmod(whole[at].astype(np.int64) - 1, MEMBERS)
+    c, e, h = hidden(p, whole, at)
+    _, dz, total = exponentials(h, p["group"], p["group_rest"])
+    dz /= total[:, None]
+    dz[rows, group] -= 1
+    g = {"group": h.T @ dz, "group_rest": dz.sum(0), "member": np.zeros_like(p["member"]), "member_rest": np.zeros_like(p["member_rest"])}
+    dh = dz @ p["group"].T
+    order, places = by_group(group)
+    hs, ms, ds = h[order], member[order], np.empty_like(h)
+    for q, s in places:
+        _, dz, total = exponentials(hs[s], p["member"][q], p["member_rest"][q])
+        dz /= total[:, None]
+        dz[rows[: len(dz)], ms[s]] -= 1
+        g["member"][q], g["member_rest"][q] = hs[s].T @ dz, dz.sum(0)
+        ds[s] = dz @ p["member"][q].T
+    dh[order] += ds
+    dh *= 1 - h * h
+    g["bias"], g["into"] = dh.sum(0), e.T @ dh
+    de, c = (dh @ p["into"].T).reshape(-1, EMBED), c.ravel()
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][c[first]] = np.add.reduceat(de[order], first, axis=0)
+    return {k: x / n for k, x in g.items()}
+
+
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.step = p, 0
+        self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+
+    def __call__(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        by = rate / (1 - 0.9**self.step)
+        for k, x in g.items():
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (x - m)
+            x *= x
+            x -= v
+            v += 0.01 * x
+            self.p[k] -= by * m / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
+
+
+def log_probabilities(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the token at each position."""
+    out = np.empty(len(at))
+    for lo in range(0, len(at), AT_ONCE):
+        a = at[lo : lo + AT_ONCE]
+        rows = np.arange(len(a))
+        group, member = np.divmod(whole[a].astype(np.int64) - 1, MEMBERS)
+        h = hidden(p, whole, a)[2]
+        z, _, total = exponentials(h, p["group"], p["group_rest"])
+        got = z[rows, group] - np.log(total)
+        order, places = by_group(group)
+        hs, ms, more = h[order], member[order], np.empty(len(a), np.float32)
+        for q, s in places:
+            z, _, total = exponentials(hs[s], p["member"][q], p["member_rest"][q])
+            more[s] = z[rows[: len(z)], ms[s]] - np.log(total)
+        got[order] += more
+        out[lo : lo + AT_ONCE] = got
     return out
 
 
-def trained(text: np.ndarray, r: int, stride: int) -> np.ndarray:
-    """The positions of a round: of each text every stride-th, from the round's own start. stride rounds have all positions."""
-    in_text = np.arange(len(text)) - np.searchsorted(text, text)
-    return np.flatnonzero(in_text % stride == r % stride)
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, at, text): all texts in a row with 0 between them, the places of their tokens, and whose they are."""
+    gap = np.zeros(SIDE, np.uint16)
+    whole = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    n = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), n)
+    return whole, np.arange(n.sum()) + SIDE * (text + 1), text
+
 
+def dealt(words: DataFrame, shared, shards: int, piece: int) -> DataFrame:
+    """(shard, name, ids): pieces of all texts, each with the SIDE tokens around it. Rows that repeat key and text spread over the shards as well, by their place among their equals in a batch."""
 
-def fit(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    p = initial(counts)
-    spark = encoded.sparkSession
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = shared.value
+        for b in batches:
+            rows = []
+            for k, w in zip(b["k"], b["words"], strict=True):
+                ids = vocab.tokens(np.frombuffer(w, "<u4"))
+                ids = np.concatenate([np.zeros(SIDE, "<u2"), ids, np.zeros(SIDE, "<u2")])
+                for lo in range(0, len(ids) - 2 * SIDE, piece):
+                    x = ids[lo : lo + piece + 2 * SIDE].tobytes()
+                    rows.append((crc32(str(k).encode("utf-8", "replace"), crc32(x)), x))
+            out = pd.DataFrame(rows, columns=["name", "ids"]).astype({"name": "int64", "ids": object})
+            yield out.assign(copy=out.groupby("name").cumcount().astype("int64"))
+
+    made = words.mapInPandas(run, "name long, ids binary, copy long")
+    return made.select(F.pmod(F.xxhash64("name", "copy"), F.lit(shards)).cast("int").alias("shard"), "name", "ids")
+
+
+def fit(words: DataFrame, vocab: Vocabulary, total: int, rounds: int = ROUNDS, shard: int = SHARD, piece: int = PIECE) -> dict[str, np.ndarray]:
+    """words: hashed(); total: how many there are."""
+    spark = words.sparkSession
+    shards = max(1, -(-total // shard))
+    at_hand = spark.sparkContext.broadcast(vocab)
+    pieces = materialise(dealt(words, at_hand, shards, piece), "lm-pieces")
+    p = initial(vocab.counts)
+    size = len(flat(p))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(flat(p))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared, r=r) -> Iterator[pd.DataFrame]:
-            own, n = unflat(shared.value), 0
-            own = {k: x.copy() for k, x in own.items()}
+            for g in in_groups(batches, ["shard"]):
+                texts = [np.frombuffer(x, "<u2") for x in g["ids"]]
+                starts = np.cumsum([0, *map(len, texts)])
+                at = np.concatenate([np.arange(lo + SIDE, hi - SIDE, dtype=np.int64) for lo, hi in zip(starts[:-1], starts[1:], strict=True)])
+                at = np.random.default_rng(len(at)).permutation(at)[r::rounds]
+                if not len(at):
+                    continue
+                whole, own = np.concatenate(texts), unflat(shared.value)
+                adam = Adam(own)
+                for lo in range(0, len(at), BATCH):
+                    adam(gradient(own, whole, at[lo : lo + BATCH]), RATE * (1 - (r + lo / len(at)) / rounds))
+                v = flat(own)
+                yield pd.DataFrame({"block": range(-(-size // BLOCK)), "shard": g["shard"].iloc[0], "n": len(at), "x": [v[lo : lo + BLOCK].tobytes() for lo in range(0, size, BLOCK)]})
+
+        def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block, total, n = None, None, 0
             for b in batches:
-                for lo in range(0, len(b), 500):
-                    context, token, text = windows(list(b["ids"].iloc[lo : lo + 500]), "<u2")
-                    at = np.random.default_rng(lo).permutation(trained(text, r, stride))
-                    if len(at):
-                        train(own, context[:, at], token[at], RATE / (1 + r))
-                        n += len(at)
-            if n:
-                yield pd.DataFrame({"i": np.arange(len(shared.value)), "x": flat(own).astype(float) * n, "n": n})
-
-        got = encoded.select("ids").mapInPandas(step, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # a row per parameter
+                for i, m, x in zip(b["block"], b["n"], b["x"], strict=True):
+                    if i != block:
+                        if block is not None:
+                            yield pd.DataFrame({"block": [block], "x": [(total / n).tobytes()]})
+                        block, total, n = i, 0.0, 0
+                    total, n = total + np.frombuffer(x, np.float32).astype(float) * m, n + m
+            if block is not None:
+                yield pd.DataFrame({"block": [block], "x": [(total / n).tobytes()]})
+
+        ordered = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "name", "ids")
+        own = ordered.mapInPandas(step, "block int, shard int, n long, x binary").repartition("block").sortWithinPartitions("block", "shard")
+        got = own.mapInPandas(average, "block int, x binary").collect()  # the parameters, in blocks
+        shared.unpersist()
         if not got:
             break
-        new = np.zeros(len(shared.value))
-        for i, x in got:
-            new[i] = x
-        p = unflat(new)
+        p = unflat(np.concatenate([np.frombuffer(x) for _, x in sorted((i, bytes(x)) for i, x in got)]))
+    drop(pieces)
     return p
 
 
-def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
-    """key, n_tokens, log_likelihood (the sum over all tokens) and mean_log_likelihood.
+def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """key, n_tokens, log_likelihood (the sum over all words) and mean_log_likelihood.
 
-    Null and empty texts have no tokens, a sum of 0 and a null mean. Repeated rows are trained on and scored each. A null key is kept. An
-    empty table gives no rows.
+    Null and empty texts have no tokens, a sum of 0 and a null mean. Repeated rows are trained on and scored each; a null key is kept. Texts of any
+    length are read in whole; a text is held by one task, its positions are worked on AT_ONCE at a time. Columns other than key and text are not read,
+    so their names can't clash. An empty table gives no rows.
     """
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    vocab, counts, kinds = vocabulary(base)
-    encoded = materialise(encode(base, vocab), "lm-ids")
-    shared = docs.sparkSession.sparkContext.broadcast(flat(fit(encoded, counts, rounds, stride)))
+    words = materialise(hashed(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))), "lm-hashes")
+    vocab, total = vocabulary(words)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, fit(words, vocab, total, rounds)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = unflat(shared.value)
+        vocab, p = shared.value
         for b in batches:
-            n = np.array([len(x) // 2 for x in b["ids"]], np.int64)
-            total = np.zeros(len(b))
-            ends = np.cumsum(n)
-            lo = 0
+            texts = [np.frombuffer(w, "<u4") for w in b["words"]]
+            n = np.array([len(t) for t in texts], np.int64)
+            total, ends, lo = np.zeros(len(b)), np.cumsum(n), 0
             while lo < len(b):  # so many texts that their positions fit in memory
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
-                context, token, of = windows(list(b["ids"].iloc[lo:hi]), "<u2")
-                total[lo:hi] = np.bincount(of, log_probabilities(p, context, token, kinds), minlength=hi - lo)
+                tokens = [vocab.tokens(t) for t in texts[lo:hi]]
+                whole, at, of = padded(tokens)
+                words = np.concatenate(texts[lo:hi])
+                got = log_probabilities(p, whole, at) + vocab.shares(words, whole[at])
+                total[lo:hi] = np.bincount(of, got, minlength=hi - lo)
                 lo = hi
             yield pd.DataFrame({"k": b["k"], "n_tokens": n, "log_likelihood": total}).astype({"k": b["k"].dtype})
 
-    out = encoded.mapInPandas(score, f"k {encoded.schema['k'].dataType.simpleString()}, n_tokens long, log_likelihood double")
+    out = words.mapInPandas(score, f"k {words.schema['k'].dataType.simpleString()}, n_tokens long, log_likelihood double")
     return out.select(F.col("k").alias(key), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -397,63 +397,105 @@ def test_larger_images_have_more_corners():
     assert len(media.Describer()(a)) > 8 * len(media.Describer()(a[:64, :64])) > 0
 
 
-def test_language_model_prefers_real_order(spark, data):
+def test_language_model_prefers_corpus_over_noise(spark, data):
+    """With the query's own settings: texts of the corpus score above texts with every other word replaced by a word drawn evenly, and above a unigram model."""
     from lintlake.llm.common import table
 
     docs = table(spark, data.replace("sf0.001", "sf0.01"), "documents").where("lang = 'en'").select("doc_id", "text")
     rng = random.Random(9)
-    mixed = [(10_000_000 + r.doc_id, " ".join(rng.sample(r.text.split(), len(r.text.split())))) for r in docs.limit(60).collect()]
-    model = lm_score.pseudo_likelihood(docs.unionByName(spark.createDataFrame(mixed, "doc_id long, text string")), rounds=3, stride=2).toPandas().set_index("doc_id")
-    a = model.loc[[k - 10_000_000 for k, _ in mixed], "mean_log_likelihood"].to_numpy()
-    b = model.loc[[k for k, _ in mixed], "mean_log_likelihood"].to_numpy()
-    assert np.nanmean(a) > np.nanmean(b)
+    some = docs.limit(60).collect()
+    words = sorted({w for r in some for w in (r.text or "").split()})
+    noisy = [(10_000_000 + r.doc_id, " ".join(w if i % 2 else rng.choice(words) for i, w in enumerate((r.text or "").split()))) for r in some]
+    model = lm_score.pseudo_likelihood(docs.unionByName(spark.createDataFrame(noisy, "doc_id long, text string"))).toPandas().set_index("doc_id")
+    a = model.loc[[k - 10_000_000 for k, _ in noisy], "mean_log_likelihood"].to_numpy()
+    b = model.loc[[k for k, _ in noisy], "mean_log_likelihood"].to_numpy()
+    assert np.nanmean(a > b) > 0.9
+    count = defaultdict(int)
+    for r in docs.collect():
+        for w in (r.text or "").lower().split():
+            count[w] += 1
+    total = sum(count.values())
+    unigram = sum(n * np.log(n / total) for n in count.values()) / total
+    real = model[model.index < 10_000_000]
+    assert real["log_likelihood"].sum() / real["n_tokens"].sum() > unigram
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(80)))) for i in range(200)], "doc_id long, text string")
+    words = [lm_score.hashed(d.select(F.col("doc_id").alias("k"), F.col("text").alias("t"))) for d in (docs.coalesce(1), docs.repartition(5, "doc_id"))]
+    got = []
+    for w in words:
+        vocab, total = lm_score.vocabulary(w)
+        got.append(lm_score.flat(lm_score.fit(w, vocab, total, shard=2000, piece=30)))
+    assert np.abs(got[0] - got[1]).max() < 1e-6
+
+
+def small_vocabulary(texts):
+    words = [lm_score.word_hashes(t, {}) for t in texts]
+    h, n = np.unique(np.concatenate(words), return_counts=True)
+    order = np.lexsort((h, -n))
+    top, rest = order[:2], order[2:]
+    cells = np.unique(h[rest] % lm_score.CELLS, return_inverse=True)
+    return lm_score.Vocabulary(h[top].astype(np.uint32), n[top].astype(float), [cells[0].astype(np.int64), np.bincount(cells[1], n[rest]).astype(np.int64), np.bincount(cells[1])]), words
 
 
 def test_language_model_matches_direct_sum():
-    p = lm_score.initial(np.ones(lm_score.VOCABULARY + 1))
-    ids = [bytes([1, 2, 3, 4]), b"", bytes([9])]
-    context, token, text = lm_score.windows(ids)
-    got = np.bincount(text, lm_score.log_probabilities(p, context, token), minlength=3)
+    vocab, words = small_vocabulary(["a b c a b a", "", "rare a a b"])
+    p = lm_score.initial(vocab.counts)
+    tokens = [vocab.tokens(w) for w in words]
+    whole, at, text = lm_score.padded(tokens)
+    got = np.bincount(text, lm_score.log_probabilities(p, whole, at) + vocab.shares(np.concatenate(words), whole[at]), minlength=3)
+    soft = lambda z: z - np.log(np.exp(z).sum())
     want = []
-    for x in ids:
-        total, padded = 0.0, [0, 0, *x, 0, 0]
+    for w, x in zip(words, tokens, strict=True):
+        total, full = 0.0, [0, 0, *x, 0, 0]
         for i in range(len(x)):
-            near = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
-            h = np.tanh(sum(p["embed"][c] @ p["into"][s] for s, c in enumerate(near)) + p["bias"])
-            z = (h @ p["out"] + p["rest"]).astype(float)
-            total += z[x[i]] - np.log(np.exp(z).sum())
+            near = [full[i], full[i + 1], full[i + 3], full[i + 4]]
+            h = np.tanh(np.concatenate([p["embed"][c] for c in near]) @ p["into"] + p["bias"])
+            g, m = divmod(int(x[i]) - 1, lm_score.MEMBERS)
+            total += soft((h @ p["group"] + p["group_rest"]).astype(float))[g] + soft((h @ p["member"][g] + p["member_rest"][g]).astype(float))[m]
+            total += float(vocab.share[w[i] % lm_score.CELLS]) if x[i] > lm_score.TOKENS - lm_score.BUCKETS else 0.0
         want.append(total)
     assert np.allclose(got, want, atol=1e-3)
+    assert list(tokens[0][:2]) == [1, 2] and tokens[2][0] > lm_score.TOKENS - lm_score.BUCKETS  # a and b have tokens of their own
+    assert abs(np.exp(vocab.share[crc32_of("c") % lm_score.CELLS]) - (1 if tokens[0][2] != tokens[2][0] else 0.5)) < 1e-6
 
 
-def test_language_model_tells_rare_words_apart():
-    ids = [np.array([300, 1, 2], "<u2").tobytes(), np.array([2000, 1, 2], "<u2").tobytes()] * 200
-    context, token, _ = lm_score.windows(ids, "<u2")
-    counts = np.ones(lm_score.VOCABULARY + 1 + lm_score.TAIL)
-    p = lm_score.initial(counts)
-    total = [sum(np.exp(lm_score.log_probabilities(p, np.repeat(context[:, :1], 256, 1), np.arange(lo, lo + 256)))) for lo in range(256, 256 + lm_score.TAIL, 256)]
-    head = np.exp(lm_score.log_probabilities(p, np.repeat(context[:, :1], 255, 1), np.arange(1, 256))).sum()
-    pad = np.exp(lm_score.log_probabilities(p, context[:, :1], np.array([0])))[0]  # the tail as a whole
-    assert abs(sum(total) - pad) < 1e-3 and abs(pad + head - 1) < 1e-3
-    for _ in range(40):
-        lm_score.train(p, context, token)
-    seen, other = lm_score.log_probabilities(p, context[:, :1].repeat(2, 1), np.array([300, 700]))
-    assert seen > other + 2 and lm_score.place("word", {"word": 5}) == 5 and lm_score.place("never", {}) > lm_score.VOCABULARY
-
+def crc32_of(word):
+    return zlib.crc32(word.encode())
 
-def test_language_model_trains_on_every_position():
-    _, token, text = lm_score.windows([bytes(5), b"", bytes(1), bytes(8)])
-    at = np.concatenate([lm_score.trained(text, r, lm_score.STRIDE) for r in range(lm_score.ROUNDS)])
-    assert sorted(at) == list(range(len(token)))
 
-
-def test_language_model_counts_shared_words(spark):
-    docs = spark.createDataFrame([(1, "a a b"), (2, "c a")], "k long, t string")
-    words, counts, kinds = lm_score.vocabulary(docs, 1)
-    assert words == ["a"] and counts[1] == 3 and counts[0] == 0 and counts[lm_score.VOCABULARY + 1 :].sum() == 2
-    assert kinds[lm_score.place("b", {})] == 1 + (lm_score.place("b", {}) == lm_score.place("c", {}))
-    got = {r.doc_id: r.mean_log_likelihood for r in lm_score.pseudo_likelihood(docs.select(F.col("k").alias("doc_id"), F.col("t").alias("text"))).collect()}
-    assert all(x < 0 for x in got.values())
+def test_language_model_gradient_is_the_slope_of_the_loss():
+    vocab, words = small_vocabulary(["a b c a b a d e f", "rare a a b"])
+    p = lm_score.initial(vocab.counts)
+    whole, at, _ = lm_score.padded([vocab.tokens(w) for w in words])
+    g = lm_score.gradient(p, whole, at)
+    loss = lambda: -lm_score.log_probabilities(p, whole, at).mean()
+    rng = np.random.default_rng(0)
+    for k in p:
+        where = np.argwhere(np.abs(g[k]) > 0.01)
+        for i in map(tuple, where[rng.permutation(len(where))[:3]]):
+            before = p[k][i]
+            p[k][i] = before + 0.01
+            up = loss()
+            p[k][i] = before - 0.01
+            down = loss()
+            p[k][i] = before
+            assert abs((up - down) / 0.02 - g[k][i]) < 0.02 * abs(g[k][i]) + 2e-3, (k, i)
+
+
+def test_language_model_deals_every_position_once(spark):
+    texts = ["a b c d e f g", "", "a a", None, "a b c d e f g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    words = lm_score.hashed(docs)
+    vocab, total = lm_score.vocabulary(words)
+    assert total == 16
+    pieces = lm_score.dealt(words, spark.sparkContext.broadcast(vocab), 3, 3).collect()
+    seen = [np.frombuffer(r.ids, "<u2") for r in pieces]
+    assert sum(len(x) - 2 * lm_score.SIDE for x in seen) == 16 and {r.shard for r in pieces} <= {0, 1, 2}
+    whole = vocab.tokens(lm_score.word_hashes(texts[0], {}))
+    assert any(list(x) == [*whole[1:], 0] for x in seen)  # a middle piece has the tokens around it
 
 
 def test_language_model_on_odd_tables(spark):
