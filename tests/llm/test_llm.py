@@ -384,6 +384,46 @@ def test_turned_and_rescaled_copies_without_grain_are_found(spark):
     assert sum(got[100 + i] == got[i] for i in range(24)) >= 22 and sum(got[200 + i] == got[i] for i in range(24)) >= 22
 
 
+def test_descriptors_under_hot_keys_meet_as_in_one_group(spark):
+    """Against all pairs: every descriptor with another image's within NEAR bits under its key is linked, whatever the parts of the key."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for c in range(40):  # clusters of near descriptors under one key
+        base = rng.integers(-(1 << 62), 1 << 62, 4)
+        base[0] &= (1 << 24) - 1  # the first 40 bits are the key
+        for i in range(6):
+            bits = base.copy()
+            bits[1 + i % 3] ^= np.int64(1 << int(rng.integers(0, 60)))
+            rows.append((int(100 * c + i), int(c * 1000 + i), *map(int, bits)))
+    corners = spark.createDataFrame(rows, "id long, place long, t0 long, t1 long, t2 long, t3 long")
+    for chunk in (4096, 50, 16):
+        got = media.matched(corners, 0, chunk).collect()
+        assert all(r.id // 100 == r.pivot // 100 and r.id > r.pivot and r.place == r.id // 100 * 1000 + r.id % 100 for r in got)
+        links = {(r.id, r.pivot) for r in got}
+        linked = defaultdict(set)
+        for a, b in links:
+            linked[a].add(b)
+            linked[b].add(a)
+        for c in range(40):  # one component a cluster
+            seen, todo = set(), [100 * c]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += linked[x]
+            assert len(seen) == 6, chunk
+
+
+def test_copies_with_repeated_keys_are_one_image(spark):
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, 256, 64 * 64).astype(np.uint8).tobytes() for _ in range(2))
+    rows = [(1, 64, 64, a), (1, 64, 64, b), (1, 64, 64, a), (2, 64, 64, a), (3, 64, 64, b)]
+    schema = "image_id long, width int, height int, pixels binary"
+    got = [sorted(map(tuple, media.copy_classes(spark.createDataFrame(r, schema)).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 5
+    assert sorted(k for k, _, c in got[0] if c == 1) in ([1, 1, 1, 2], [1, 1, 1, 3])
+
+
 def test_drawn_copies_are_of_all_kinds(spark):
     vec = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(16).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
     got = {r.image_id: r for r in media.rendered(vec).collect()}
