@@ -52,6 +52,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, which reads the files of the table ``of`` and goes with them."""
+    df.written_to = of.written_to
+    return df
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables from materialise(), which nothing that is still to run may read."""
     for df in tables:

@@ -394,11 +394,11 @@ def test_descriptors_under_hot_keys_meet_as_in_one_group(spark):
         for i in range(6):
             bits = base.copy()
             bits[1 + i % 3] ^= np.int64(1 << int(rng.integers(0, 60)))
-            rows.append((int(100 * c + i), int(c * 1000 + i), *map(int, bits)))
-    corners = spark.createDataFrame(rows, "id long, place long, t0 long, t1 long, t2 long, t3 long")
+            rows.append((int(100 * c + i), i, *map(int, bits)))
+    corners = spark.createDataFrame(rows, "id long, c int, t0 long, t1 long, t2 long, t3 long")
     for chunk in (4096, 50, 16):
         got = media.matched(corners, 0, chunk).collect()
-        assert all(r.id // 100 == r.pivot // 100 and r.id > r.pivot and r.place == r.id // 100 * 1000 + r.id % 100 for r in got)
+        assert all(r.id // 100 == r.pivot // 100 and r.id > r.pivot and (r.c, r.p_c) == (r.id % 100, r.pivot % 100) for r in got)
         links = {(r.id, r.pivot) for r in got}
         linked = defaultdict(set)
         for a, b in links:
