@@ -9,11 +9,14 @@ pivot. The join goes from coarse to fine:
   smallest node under a hash is its pivot; each node joins the regions of its pivots. No pair is formed here, and no order depends on a
   cap: any linked pair shares a region.
 * Regions: within a region, further pivots divide the nodes into Voronoi cells; a node is replicated to each cell whose pivot is no
-  more than 2 r further than its nearest one, and cells are joined recursively. Pairs already connected are not compared again, since
-  only connectivity is returned.
+  more than 2 r further than its nearest one, and cells are joined recursively. Pairs already connected are not compared again here:
+  all that is wanted at this point are the classes.
 * Large regions are dealt into chunks that all hold the region's pivot. What then is not connected with the bulk of its
   region is compared with all chunks, block by block, where their distances to the pivot differ by r at most.
 * Links become classes by label propagation with pointer jumping.
+* Within the classes of three nodes or more all links are then counted, also those that were not needed to connect them: blocks of a
+  class meet in pairs, hashes that many of their nodes hold are compared as a matrix product, all others by their few holders. What leaves a task is a count for
+  each node, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ PERCENT = 80
 CACHED_WORDS = 100_000
 CHUNK_NODES, CHUNK_HASHES = 256, 200_000  #: what one task compares at a time
 ACROSS = 4  #: what is compared across chunks goes in chunks that are larger by this factor, against blocks of half their size
+BLOCK_NODES, BLOCK_HASHES = 1024, 1_000_000  #: of a class, that meet others at a time when links are counted
+OFTEN = 64  #: pairs of nodes that share a hash, from which on it is compared as a matrix
 LEAF = 48
 CELLS = 16
 BROADCAST_ROWS = 400_000  #: keys of 8 bytes that may be sent to every executor; beyond that, rows are shuffled
@@ -217,6 +222,70 @@ def _sets_of(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "name", "t").mapInPandas(run, "node long, hashes binary")
 
 
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of the sets a and b are linked, as a matrix."""
+    sizes = [np.array([len(x) for x in s], np.int64) for s in (a, b)]
+    rows = [np.repeat(np.arange(len(s)), n) for s, n in zip((a, b), sizes, strict=True)]
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    ends = len(rows[0])
+    at = [at[:ends], at[ends:]]
+    held = [np.bincount(x, minlength=len(values)) for x in at]
+    both = np.zeros((len(a), len(b)), np.float32)
+    often = (held[0] > 0) & (held[1] > 0) & (held[0] * held[1] > OFTEN)
+    place = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 4096):
+        dense = []
+        for x, r, s in zip(at, rows, (a, b), strict=True):
+            mine = often[x] & (place[x] >= lo) & (place[x] < lo + 4096)
+            m = np.zeros((len(s), min(4096, int(often.sum()) - lo)), np.float32)
+            m[r[mine], place[x[mine]] - lo] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    order = np.argsort(at[1], kind="stable")
+    starts = np.r_[0, np.cumsum(held[1])]
+    few = ~often[at[0]]
+    x, r = at[0][few], rows[0][few]
+    n = held[1][x]
+    if n.sum():
+        left = np.repeat(r, n)
+        right = rows[1][order[np.repeat(starts[x] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]]
+        both += np.bincount(left * len(b) + right, minlength=both.size).reshape(both.shape)
+    union = sizes[0][:, None] + sizes[1][None] - both
+    return 100 * both >= percent * union
+
+
+def link_counts(classes: DataFrame, sets: DataFrame, percent: int, block_nodes: int, block_hashes: int) -> DataFrame:
+    """(node, links): to how many rows of other sets each node is linked, for nodes of classes (node, label, n, n_copies) with more than one node."""
+    per = classes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.sum("n_copies").alias("rows")).where("c > 1")
+    per = materialise(per.withColumn("blocks", F.greatest(F.ceil(F.col("c") / block_nodes), F.ceil(F.col("w") / block_hashes)).cast("int")), "class-blocks")
+    mine = classes.join(per, "label")
+    pairs = mine.where("c = 2").select("node", (F.col("rows") - F.col("n_copies")).alias("links"))  # two nodes of a class are linked
+    mine = mine.where("c > 2").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    # a task for each pair of blocks i <= j
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = mine.select("label", "node", "n_copies", "own", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(sets, "node")
+    keys = ["label", "i", "j"]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in in_groups(batches, keys):
+            g = g.drop_duplicates("node")
+            i, j = g["i"].iloc[0], g["j"].iloc[0]
+            a, b = g[g["own"] == i], g[g["own"] == j]
+            if not len(a) or not len(b):
+                continue
+            yes = linked(_sets(a["hashes"]), _sets(b["hashes"]), percent)
+            if i == j:
+                np.fill_diagonal(yes, False)
+            yield pd.DataFrame({"node": a["node"], "links": yes @ b["n_copies"].to_numpy()})
+            if i != j:
+                yield pd.DataFrame({"node": b["node"], "links": yes.T @ a["n_copies"].to_numpy()})
+
+    counted = dealt.select(*keys, "node", "n_copies", "own", "hashes").repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(count, "node long, links long")
+    out = materialise(counted.unionByName(pairs).groupBy("node").agg(F.sum("links").alias("links")), "class-links")
+    drop(per)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node of the class."""
     both = links.where("a <> b").select("a", "b")
@@ -239,12 +308,12 @@ def _pick(rows: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     return rows.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on)
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, text: str = "text", key: str = "doc_id", chunk_nodes: int = CHUNK_NODES, chunk_hashes: int = CHUNK_HASHES) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key that links reach, the row's own included), n_copies (rows with an equal set).
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, text: str = "text", key: str = "doc_id", chunk_nodes: int = CHUNK_NODES, chunk_hashes: int = CHUNK_HASHES, block_nodes: int = BLOCK_NODES, block_hashes: int = BLOCK_HASHES, count_links: bool = True) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key that links reach, the row's own included), n_copies (rows with an equal set), n_links (other rows that this one is linked with, those with an equal set included).
 
     Sets link at 100 * intersection >= percent * union. Null and empty texts, and texts of white space, have no shingles and are alone: their
     component is their own key. A row with a null key takes part through rows with an equal set that have one; without any it is alone, and its
-    component null. Repeated rows come back as often as they came. An empty table gives no rows. Other columns are not read.
+    component null. Without ``count_links`` n_links counts equal sets alone. Repeated rows come back as often as they came. An empty table gives no rows. Other columns are not read.
     """
     named = materialise(_hash_sets(docs, key, text, words, percent, "name"), "sets")
     first = _hash_sets(docs, key, text, words, percent, "prefix").where("n > 0").groupBy("name").agg(F.min("k").alias("doc"), F.max("n").alias("n"), F.min("prefix").alias("prefix"), F.count(F.lit(1)).alias("n_copies"))
@@ -295,15 +364,18 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     large = materialise(found.where("pivot <> -1").select("pivot", F.col("a").alias("node"), "d").dropDuplicates(["pivot", "node"]), "large")
     if large.limit(1).count():
         links = links.unionByName(_across(large, sets, components(links), regions.select("pivot", F.col("wide").alias("chunks")), nodes.select("node", "n"), lambda: parts("c", "w", ACROSS / 2), percent))
-    drop(sets)
     labels = components(links)
-    classes = nodes.select("node", "name", "doc", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = nodes.select("node", "name", "doc", "n", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = materialise(classes, "classes")
     least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
-    by_name = materialise(classes.join(least, "label").select("name", "component_id", "n_copies"), "by-name")
-    drop(nodes, used, regions, found, large, classes)
+    by_name, counted = classes.join(least, "label").withColumn("links", F.lit(0).cast("long")), []
+    if count_links:
+        counted = [link_counts(classes.select("node", "label", "n", "n_copies"), sets, percent, block_nodes, block_hashes)]
+        by_name = by_name.drop("links").join(counted[0], "node", "left")
+    by_name = materialise(by_name.select("name", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "by-name")
+    drop(sets, nodes, used, regions, found, large, classes, *counted)
     out = named.join(by_name, "name", "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, sizes: DataFrame, blocks_of, percent: int) -> DataFrame:

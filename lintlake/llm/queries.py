@@ -13,7 +13,7 @@ from .common import bucket_of, table
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, words=4).select("doc_id", "n_shingles", "component_id", "n_copies")
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, words=4).select("doc_id", "n_shingles", "component_id", "n_copies", "n_links")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,14 +41,17 @@ def brute_classes(rows, words=5, percent=80):
             x = label[x]
         return x
 
+    links = [0] * len(sets)
     for i in range(len(sets)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 label[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = defaultdict(list)
     for i in range(len(sets)):
         least[root(i)].append(ids[i])
-    return [(k, len(s), min((x for x in least[root(i)] if x is not None), default=None)) for i, (k, s) in enumerate(zip(ids, sets, strict=True))]
+    return [(k, len(s), min((x for x in least[root(i)] if x is not None), default=None), links[i]) for i, (k, s) in enumerate(zip(ids, sets, strict=True))]
 
 
 def near_copies(seed=1):
@@ -75,14 +78,22 @@ def near_copies(seed=1):
 @pytest.mark.parametrize(("chunk", "words", "percent"), [(1024, 4, 85), (7, 5, 80), (7, 4, 85)])
 def test_jaccard_classes_equal_brute_force(spark, chunk, words, percent):
     rows = near_copies(chunk)
-    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent, words, chunk_nodes=chunk)
-    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(brute_classes(rows, words, percent))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent, words, chunk_nodes=chunk, block_nodes=chunk)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()) == sorted(brute_classes(rows, words, percent))
+
+
+def test_linked_equals_counting():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 80)
+    sets = [np.unique(np.where(rng.random(80) < rng.choice([0.02, 0.3]), rng.integers(0, 1 << 60, 80), base)[: rng.integers(1, 81)]).astype(np.uint64) for _ in range(60)]
+    want = [[100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for y in sets[25:]] for x in sets[:25]]
+    assert (jaccard_join.linked(sets[:25], sets[25:], 80) == np.array(want)).all() and np.any(want)
 
 
 def test_jaccard_on_odd_tables(spark):
     df = odd_docs(spark)
-    got = sorted(map(tuple, jaccard_join.jaccard_classes(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
-    assert got == sorted(brute_classes([(r.doc_id, r.text) for r in df.collect()]) and [(k, n, c if n else k) for k, n, c in brute_classes([(r.doc_id, r.text) for r in df.collect()])], key=str)
+    got = sorted(map(tuple, jaccard_join.jaccard_classes(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
+    assert got == sorted([(k, n, c if n else k, m) for k, n, c, m in brute_classes([(r.doc_id, r.text) for r in df.collect()])], key=str)
     assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
 
 
@@ -398,7 +409,7 @@ def test_descriptors_under_hot_keys_meet_as_in_one_group(spark):
     corners = spark.createDataFrame(rows, "id long, c int, t0 long, t1 long, t2 long, t3 long")
     for chunk in (4096, 50, 16):
         got = media.matched(corners, 0, chunk).collect()
-        assert all(r.id // 100 == r.pivot // 100 and r.id > r.pivot and (r.c, r.p_c) == (r.id % 100, r.pivot % 100) for r in got)
+        assert all(r.id // 100 == r.pivot // 100 and r.id > r.pivot and r.both == (r.id % 100 << 32) + r.pivot % 100 for r in got)
         links = {(r.id, r.pivot) for r in got}
         linked = defaultdict(set)
         for a, b in links:
@@ -561,6 +572,6 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, data):
             assert out.columns == names
         if name == "ngram_jaccard_join":
             rows = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-            assert sorted(r.doc_id for r in out.collect()) == sorted({k for k, n, c in rows if c == k or not n})
+            assert sorted(r.doc_id for r in out.collect()) == sorted({k for k, n, c, _ in rows if c == k or not n})
         docs = out
     assert 0 < docs.select("doc_id").distinct().count() < before
