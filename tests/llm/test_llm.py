@@ -228,6 +228,17 @@ def test_ann_equals_brute_force_with_all_lists_and_ties(spark):
     assert ann.search(df.where("vec_id in (0, 1, 2)")).select("vec_id", "rank").orderBy("rank").collect() in ([(1, 1), (2, 2)], [(2, 1), (1, 2)])
 
 
+def test_ann_always_finds_as_many_as_there_are(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 16))
+    x[:300] += 9 * np.eye(16)[0]  # most in one direction, so that many lists are small
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, probes=1).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 25
+    again = ann.search(df.unionByName(df), probes=2).toPandas()  # each key twice: as many candidates, none of them the query
+    assert (again.groupby("query_id").size() == 20).all() and (again["query_id"] != again["vec_id"]).all()
+
+
 def test_ann_tells_near_copies_apart(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 64))
