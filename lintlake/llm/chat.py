@@ -4,7 +4,7 @@ A hidden Markov model reads lines. Its states say whose line it is (system, user
 or goes on with it; what it sees of a line is its speaker marker, its length, its ending, whether it is the conversation's first line. Viterbi
 recovers the states, so that turns without a marker, or with an odd one, still get a role.
 
-Lines are range-sorted by conversation and place, so a conversation of any length is spread over partitions. Each partition
+Lines are range-sorted by conversation and place (rows at one place by their texts), so a conversation of any length is spread over partitions. Each partition
 reduces its part of a conversation to a matrix of best scores from state to state; for the conversations that cross partitions these few matrices
 are chained, which fixes the states at the cuts, and every part is then decoded by itself, with the same result as in one go.
 """
@@ -54,23 +54,30 @@ def features(line: Column, first: Column) -> Column:
     return out.cast("int")
 
 
+#: What orders the lines of a conversation: the place of their row, the hash of its text and, among equal rows, any number; the line within the row
+ORDER = ["o", "h", "m", "line"]
+
+
 def lines_of(turns: DataFrame, key: str, order: str, text: str, role: str | None = None) -> DataFrame:
-    """(key, order, line, text, seen, truth) of all lines; truth is the state that a known role says, else -1."""
+    """(k, ORDER, text, seen, truth) of all lines; truth is the state that a known role says, else -1."""
     known = F.lit(-1)
     if role:
         known = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim(role))).cast("int") - 1, F.lit(-1))
-    split = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), known.alias("r"), F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")).alias("line", "text"))
+    rows = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), known.alias("r"), F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n").alias("t"))
+    rows = rows.withColumns({"h": F.xxhash64("t", "r"), "m": F.monotonically_increasing_id()})
+    split = rows.select("k", "o", "h", "m", "r", F.posexplode(F.split("t", "\n")).alias("line", "text"))
     first = F.col("line") == 0
-    return split.select("k", "o", "line", "text", features(F.col("text"), first & F.coalesce(F.col("o") == 0, F.lit(False))).alias("seen"), F.when(F.col("r") >= 0, F.col("r") * 2 + F.when(first, 0).otherwise(1)).otherwise(-1).cast("int").alias("truth"))
+    return split.select("k", *ORDER, "text", features(F.col("text"), first & F.coalesce(F.col("o") == 0, F.lit(False))).alias("seen"), F.when(F.col("r") >= 0, F.col("r") * 2 + F.when(first, 0).otherwise(1)).otherwise(-1).cast("int").alias("truth"))
 
 
 def spread(lines: DataFrame) -> DataFrame:
     """lines in order, with the part they are in; settled in files, as the parts' bounds are by chance."""
-    return materialise(lines.repartitionByRange("k", "o", "line").withColumn("part", F.spark_partition_id()), "chat-lines")
+    return materialise(lines.repartitionByRange("k", *ORDER).withColumn("part", F.spark_partition_id()), "chat-lines")
 
 
-def by_part(spreaded: DataFrame) -> DataFrame:
-    return spreaded.repartition("part").sortWithinPartitions("part", "k", "o", "line")
+def by_part(spreaded: DataFrame, parts: int) -> DataFrame:
+    """Each part in a partition of its own, in order."""
+    return spreaded.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "k", *ORDER)
 
 
 class Model:
@@ -96,7 +103,7 @@ def _prior() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         for at in (0, 1):
             move[2 * r + at, 2 * r + 1] = 4
             for t in range(len(ROLES)):
-                move[2 * r + at, 2 * t] = {(0, 1): 3.0, (1, 2): 4.0, (2, 1): 4.0}.get((r, t), 0.2)
+                move[2 * r + at, 2 * t] = {(0, 1): 4.0, (1, 2): 4.0, (2, 1): 4.0}.get((r, t), 0.2)  # the same for all roles, so that long turns favour none
     who = np.full((S, SIZES[0]), 0.2)
     who[:, 0] = np.where(begins, 2, 12)
     for r in range(len(ROLES)):
@@ -105,7 +112,7 @@ def _prior() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return start, move, [who, np.ones((S, SIZES[1])), np.ones((S, SIZES[2])), first]
 
 
-def fit(spreaded: DataFrame) -> Model:
+def fit(spreaded: DataFrame, parts: int) -> Model:
     """The prior and the counts over all lines whose truth is known; the driver gets one row for each count, not for each line."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +134,7 @@ def fit(spreaded: DataFrame) -> Model:
 
     start, move, tables = _prior()
     grid = np.indices(SIZES).reshape(len(SIZES), -1)
-    got = by_part(spreaded.select("part", "k", "o", "line", "truth", "seen")).mapInPandas(count, "kind string, i long, j long, n double").groupBy("kind", "i", "j").agg(F.sum("n")).collect()
+    got = by_part(spreaded.select("part", "k", *ORDER, "truth", "seen"), parts).mapInPandas(count, "kind string, i long, j long, n double").groupBy("kind", "i", "j").agg(F.sum("n")).collect()
     for kind, i, j, n in got:
         if kind == "move":
             move[i, j] += n
@@ -167,13 +174,15 @@ def parse(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
 
     transcripts: rows of text in the order of ``order`` within ``key``; each may hold any number of lines and turns. role: a column with known
     roles to fit the model on (unknown or null roles are not learned from); the decoding never sees it. A null key is a conversation of its own,
-    a null text an empty line, a null place comes first. Repeated rows are lines again. An empty table gives no rows. A conversation's first turn begins with
-    its first line, whatever the state.
+    a null text an empty line, a null place comes first. Rows at the same place come one after the other, in the order of their texts' hashes; repeated rows are
+    lines again. Texts may be of any length: a conversation's lines are spread over tasks, and only one turn's are ever gathered. Columns other than key, order, text
+    and role are not read, so their names can't clash. An empty table gives no rows. A conversation's first turn begins with its first line, whatever the state.
     """
     lines = lines_of(transcripts, key, order, text, role)
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     lines = spread(lines)
-    model = fit(lines) if role else Model.untrained()
+    n_parts = (lines.agg(F.max("part")).first()[0] or 0) + 1
+    model = fit(lines, n_parts) if role else Model.untrained()
     # conversations that cross parts: fewer than there are parts
     parts = lines.groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k")
     cut = {r[0] for r in parts.collect()}
@@ -181,13 +190,13 @@ def parse(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in in_groups(batches, ["part", "k"]):
-            yield pd.DataFrame({"k": g["k"].iloc[:1], "part": g["part"].iloc[:1], "m": [transfer(g["seen"].to_numpy(), shared.value[0]).ravel()]})
+            yield pd.DataFrame({"k": g["k"].iloc[:1], "part": g["part"].iloc[:1], "x": [transfer(g["seen"].to_numpy(), shared.value[0]).ravel()]})
 
     bounds: dict[tuple, tuple[int | None, int | None]] = {}
     if cut:
         some = lines.join(F.broadcast(parts), lines.k.eqNullSafe(parts.k), "left_semi")
         found: dict = {}
-        for k, p, m in by_part(some.select("part", "k", "o", "line", "seen")).mapInPandas(reduce, f"k {kinds['k']}, part int, m array<double>").collect():
+        for k, p, m in by_part(some.select("part", "k", *ORDER, "seen"), n_parts).mapInPandas(reduce, f"k {kinds['k']}, part int, x array<double>").collect():
             found.setdefault(k, []).append((p, np.array(m).reshape(S + 1, S)))
         for k, ms in found.items():
             ms.sort(key=lambda x: x[0])
@@ -219,29 +228,31 @@ def parse(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
                 begins[0] |= states[0] // 2 != entry // 2
             turn = np.cumsum(begins) - 1
             at = np.flatnonzero(begins)
-            where = np.where(turn >= 0, at[np.maximum(turn, 0)] if len(at) else 0, -1)
-            o, line = g["o"].to_numpy(), g["line"].to_numpy()
-            yield pd.DataFrame({"k": g["k"].to_numpy(), "o": o, "line": line, "text": g["text"].to_numpy(), "part": p, "role": states // 2, "begin_o": pd.Series([o[i] if i >= 0 else None for i in where], dtype=g["o"].dtype if not (where < 0).any() else "Int64" if g["o"].dtype.kind in "iu" else object), "begin_line": pd.Series([line[i] if i >= 0 else None for i in where], dtype="Int64")})
-
-    done = by_part(lines.drop("truth")).mapInPandas(decode, f"k {kinds['k']}, o {kinds['o']}, line int, text string, part int, role int, begin_o {kinds['o']}, begin_line int")
+            where = np.where(turn >= 0, at[np.maximum(turn, 0)] if len(at) else 0, 0)
+            out = g.drop(columns="seen").assign(role=states // 2, known=turn >= 0)
+            for name in ORDER:  # where the turn begins that a line belongs to
+                out["b_" + name] = g[name].to_numpy()[where]
+            yield out
+
+    begin = [f"b_{name}" for name in ORDER]
+    done = by_part(lines.drop("truth"), n_parts).mapInPandas(decode, f"k {kinds['k']}, o {kinds['o']}, h long, m long, line int, text string, part int, role int, known boolean, b_o {kinds['o']}, b_h long, b_m long, b_line int")
     done = materialise(done, "chat-decoded")
     if not cut:
         drop(lines)
     if cut:  # lines before the first beginning of a part belong to the last turn of the parts before
-        last = done.where("begin_line is not null").join(F.broadcast(parts), done.k.eqNullSafe(parts.k), "left_semi").groupBy("k", "part").agg(F.max(F.struct("o", "line", "begin_o", "begin_line")).alias("x")).select("k", "part", "x.begin_o", "x.begin_line").collect()
+        last = done.where("known").join(F.broadcast(parts), done.k.eqNullSafe(parts.k), "left_semi").groupBy("k", "part").agg(F.max(F.struct(*ORDER, *begin)).alias("x")).select("k", "part", *[f"x.{b}" for b in begin]).collect()
         fill = []
-        for (k, p) in sorted(bounds, key=lambda b: b[1]):
+        for k, p in sorted(bounds, key=lambda b: b[1]):
             before = [r for r in last if r[0] == k and r[1] < p]
             if before:
-                r = max(before, key=lambda r: r[1])
-                fill.append((k, p, r[2], r[3]))
+                fill.append((k, p, *max(before, key=lambda r: r[1])[2:]))
         if fill:
-            extra = done.sparkSession.createDataFrame(fill, f"fk {kinds['k']}, fp int, fo {kinds['o']}, fl int")
-            done = done.join(F.broadcast(extra), done.k.eqNullSafe(extra.fk) & (done.part == extra.fp), "left").withColumns({"begin_o": F.when(F.col("begin_line").isNull(), F.col("fo")).otherwise(F.col("begin_o")), "begin_line": F.coalesce("begin_line", "fl")})
-    turns = done.groupBy("k", "begin_o", "begin_line").agg(F.min(F.struct("o", "line", "role"))["role"].alias("r"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("o", "line", "text"))).alias("l"))
+            extra = done.sparkSession.createDataFrame(fill, f"fk {kinds['k']}, fp int, f_o {kinds['o']}, f_h long, f_m long, f_line int")
+            done = done.join(F.broadcast(extra), done.k.eqNullSafe(extra.fk) & (done.part == extra.fp), "left").withColumns({f"b_{n}": F.when(F.col("known"), F.col(f"b_{n}")).otherwise(F.col(f"f_{n}")) for n in ORDER})
+    turns = done.groupBy("k", *begin).agg(F.min(F.struct(*ORDER, "role"))["role"].alias("r"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct(*ORDER, "text"))).alias("l"))
     content = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), ANY_MARKER, "")
     name = F.element_at(F.array(*map(F.lit, ROLES)), F.col("r") + 1)
-    turns = turns.select(F.col("k").alias(key), F.col("begin_o").alias(order), F.col("begin_line").alias("line"), name.alias("role"), "n_lines", F.trim(content).alias("content"))
+    turns = turns.select(F.col("k").alias(key), F.col("b_o").alias(order), F.col("b_line").alias("line"), name.alias("role"), "n_lines", F.trim(content).alias("content"))
     return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>")))
 
 

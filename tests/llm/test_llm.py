@@ -372,6 +372,25 @@ def test_chat_across_parts_equals_one_viterbi(spark):
     assert chat.parse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_rows_at_one_place_stay_apart(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, None, "User: a"), (1, 0, None, "Assistant: b"), (1, 0, None, "User: c"), (1, 0, None, "User: c"), (1, None, None, "System: first"), (2, 0, None, None), (2, 0, None, "")]
+    got = [sorted(((r.conv_id, r.turn or 0, r.role, r.content, r.n_lines) for r in chat.parse(spark.createDataFrame(x, schema).withColumn("h", F.lit("clash")).repartition(n)).collect()), key=str) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert got[0] == got[1]
+    assert sorted(x[3] for x in got[0] if x[0] == 1) == ["a", "b", "c", "c", "first"] and len(got[0]) == 7
+    long = [(1, t, None, ("User: " if t % 2 else "Assistant: ") + f"line {t}\n" * 200 + "x" * 20_000) for t in range(40)]
+    out = chat.parse(spark.createDataFrame(long, schema).repartition(3)).orderBy("turn").collect()
+    assert len(out) == 40 and all(r.n_lines == 201 and len(r.content) > 20_000 for r in out)
+
+
+def test_chat_roles_of_held_out_conversations(spark, data):
+    rich = data.replace("sf0.001", "sf0.01")
+    got = queries()["op8_chat_format"](spark, rich).where("held_out and line = 0").toPandas()
+    truth = spark.read.parquet(f"{rich}/conversations.parquet").toPandas().drop_duplicates(["conv_id", "turn"]).set_index(["conv_id", "turn"])["role"]
+    right = [truth.get((r.conv_id, r.turn)) == r.role for r in got.itertuples()]
+    assert len(right) > 50 and np.mean(right) > 0.9
+
+
 def test_copies_of_images_are_found(spark):
     vec = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(16).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
     images = media.rendered(vec)
