@@ -17,7 +17,8 @@ from .common import drop, materialise, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2
-NEWTON_STEPS = 40
+BROADCAST_ROWS = 400_000  #: hashes of 8 bytes that may be sent to every executor
+NEWTON_STEPS = 100
 TOLERANCE = 1e-9
 GRID = 16
 GRID_PASSES = 4
@@ -55,7 +56,7 @@ def _rate(lam, z, cap: int):
 
 
 def balance(sized: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
-    """targets with the columns lam and mean: the dual's solution of each source."""
+    """targets with the columns lam and mean: the dual's solution of each source; and gap, how far its rates miss the target."""
     hist = materialise(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     state = targets.withColumns({"mean": F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)), "lam": F.lit(0.0), "lo": F.lit(-1e4), "hi": F.lit(1e4), "gap": F.lit(1.0)})
     state = materialise(state.where("target > 0"), "mix-state")
@@ -79,7 +80,8 @@ def balance(sized: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES)
         if not left:
             break
     full = F.col("target") >= F.col("source_size") * max_copies * (1 - 1e-9)
-    return targets.alias("t").join(state.select("source", "mean", "lam").alias("s"), F.expr("t.source <=> s.source"), "left").select("t.*", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.when(full, F.lit(1e4)).otherwise(F.coalesce("lam", F.lit(0.0))).alias("lam"))
+    gap = F.when(full, F.lit(0.0)).otherwise(F.coalesce("gap", F.lit(0.0))).alias("gap")
+    return targets.alias("t").join(state.select("source", "mean", "lam", "gap").alias("s"), F.expr("t.source <=> s.source"), "left").select("t.*", gap, F.coalesce("mean", F.lit(1.0)).alias("mean"), F.when(full, F.lit(1e4)).otherwise(F.coalesce("lam", F.lit(0.0))).alias("lam"))
 
 
 def _copies(offset, max_copies: int):
@@ -88,15 +90,27 @@ def _copies(offset, max_copies: int):
 
 
 def entropy_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs with the columns mix_size, mix_source_size, mix_target, mix_rate and mix_copies (0 to max_copies).
+    """docs with the columns mix_size, mix_source_size, mix_target, mix_rate, mix_gap (how far the rates miss the target, as a share of it) and mix_copies (0 to max_copies).
 
     Null and empty texts have size 0, take no words and get one copy times their rate (1). A null source is a source of its
-    own, the last one. Repeated rows each count; rows with the same key and size round alike. An empty table stays empty.
-    Other columns pass through untouched, whatever their names, but for names that start with ``mix_``.
+    own, the last one. Rows that repeat key, source and size each count and are rounded each by itself, by where they stand in the table; all others by their key alone,
+    so that they agree whatever the partitions. An empty table stays empty. Columns of docs pass through untouched whatever their names: where one
+    begins with ``mix_``, all new columns begin with more underscores (``prefix``).
     """
-    # ids alone would tie on nulls and on repeated rows; the size tells them apart as far as that is possible
-    dither = (F.pmod(F.xxhash64(F.col(key), F.lit(20251)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    base = docs.withColumns({"mix_size": word_count(F.col(text)), "mix_dither": dither})
+    names, prefix = docs.columns, free_prefix(docs.columns)
+    inside = [f"in_{i}" for i in range(len(names))]
+    text, source, key = (inside[names.index(c)] for c in (text, source, key))
+    base = docs.toDF(*inside).withColumn("mix_size", word_count(F.col(text)))
+    unit = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(20251)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    alike = F.xxhash64(F.col(source), F.col(key), F.col("mix_size"))
+    repeats = materialise(base.select(alike.alias("mix_alike")).groupBy("mix_alike").count().where("count > 1").select(F.col("mix_alike").alias("mix_repeat")), "mix-repeats")
+    n_repeats = repeats.count()
+    if n_repeats:
+        base = base.withColumns({"mix_alike": alike, "mix_at": F.monotonically_increasing_id()})
+        base = base.join(F.broadcast(repeats) if n_repeats <= BROADCAST_ROWS else repeats, F.col("mix_alike") == F.col("mix_repeat"), "left")
+        base = base.withColumn("mix_dither", F.when(F.col("mix_repeat").isNull(), unit(F.col(key))).otherwise(unit(F.col(key), F.col("mix_at")))).drop("mix_alike", "mix_repeat", "mix_at")
+    else:
+        base = base.withColumn("mix_dither", unit(F.col(key)))
     sized = materialise(base.select(F.col(source).alias("source"), F.col("mix_size").alias("size"), F.col("mix_dither").alias("dither")), "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, max_copies), "mix-targets")
     solved = materialise(balance(sized, targets, max_copies), "mix-solved")
@@ -116,10 +130,19 @@ def entropy_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copi
     final = _nearer(rated, final.select("source", "target", "offset"), max_copies)
     drop(sized)
     per = solved.alias("t").join(final.select("source", "offset", "fixes").alias("o"), F.expr("t.source <=> o.source"), "left").select(
-        F.col("fixes").alias("mix_fixes"), F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("t.target").alias("mix_target"), F.col("lam").alias("mix_lam"), F.col("mean").alias("mix_mean"), F.coalesce("offset", F.lit(0.0)).alias("mix_offset"))
+        F.col("fixes").alias("mix_fixes"), F.col("t.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("t.target").alias("mix_target"), F.col("lam").alias("mix_lam"), F.col("mean").alias("mix_mean"), F.col("gap").alias("mix_gap"), F.coalesce("offset", F.lit(0.0)).alias("mix_offset"))
     out = base.join(per, base[source].eqNullSafe(per.mix_source)).withColumn("mix_rate", _rate(F.col("mix_lam"), F.col("mix_size") / F.col("mix_mean"), max_copies))
     copies = _fixed(F.greatest(F.lit(0), F.least(F.lit(max_copies), F.floor(F.col("mix_rate") + F.col("mix_dither") - F.col("mix_offset")))), F.col("mix_fixes"), F.col("mix_size"), F.col("mix_dither"))
-    return out.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_lam", "mix_mean", "mix_offset", "mix_dither", "mix_fixes")
+    out = out.withColumn("mix_copies", copies.cast("int"))
+    return out.select(*[F.col(i).alias(n) for i, n in zip(inside, names, strict=True)], *[F.col(f"mix_{n}").alias(prefix + n) for n in ("size", "source_size", "target", "rate", "gap", "copies")])
+
+
+def free_prefix(names: list[str]) -> str:
+    """mix_, with as many underscores before it as it takes to begin none of the names."""
+    prefix = "mix_"
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix = "_" + prefix
+    return prefix
 
 
 def _fixed(copies, fixes, size, dither):
@@ -146,5 +169,7 @@ def _nearer(rated: DataFrame, state: DataFrame, max_copies: int) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as its copies say."""
-    out = entropy_mix(docs, **options).withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
-    return out.select(*docs.columns)
+    inside = [f"doc_{i}" for i in range(len(docs.columns))]
+    options = {k: f"doc_{docs.columns.index(options.pop(k, d))}" for k, d in (("text", "text"), ("source", "source"), ("key", "doc_id"))} | options
+    out = entropy_mix(docs.toDF(*inside), **options).withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
+    return out.select(*[F.col(i).alias(n) for i, n in zip(inside, docs.columns, strict=True)])

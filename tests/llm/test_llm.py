@@ -286,11 +286,26 @@ def test_mix_targets_and_copies(spark):
     assert dict(zip(got["doc_id"], got["mix_copies"], strict=True)) == dict(zip(again["doc_id"], again["mix_copies"], strict=True))
 
 
+def test_mix_meets_targets_with_repeated_rows(spark):
+    rng = random.Random(5)
+    rows = [(7, "w " * 90, "en", "a", 1)] * 40 + [(i, "w " * rng.randrange(1, 60), "en", rng.choice("ab"), 1) for i in range(100, 160)] + [(None, "w " * 30, "en", "c", 1)] * 50
+    docs = spark.createDataFrame(rows, DOCS)
+    got = entropy_mix.entropy_mix(docs).toPandas()
+    assert (got["mix_gap"] < 1e-6).all()
+    for _, g in got.groupby("source"):
+        target = g["mix_target"].iloc[0]
+        assert abs((g["mix_size"] * g["mix_copies"]).sum() - target) <= max(0.01 * target, 45), (g["source"].iloc[0], target)
+
+
 def test_mix_on_odd_tables(spark):
     df = odd_docs(spark)
     out = entropy_mix.entropy_mix(df)
     assert out.count() == df.count() and set(df.columns) <= set(out.columns)
     assert entropy_mix.mixed(df).columns == df.columns
+    named = df.withColumns({"mix_size": F.lit("keep"), "mix_n": F.lit("keep"), "in_0": F.lit("keep"), "doc_0": F.lit("keep")})
+    kept = entropy_mix.entropy_mix(named)
+    assert "_mix_copies" in kept.columns and {(r.mix_size, r.mix_n, r.in_0) for r in kept.collect()} == {("keep",) * 3}
+    assert {(r.mix_size, r.mix_n, r.doc_0) for r in entropy_mix.mixed(named).collect()} == {("keep",) * 3}
     assert entropy_mix.entropy_mix(df.limit(0)).count() == 0
 
 
