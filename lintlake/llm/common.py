@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, or, where none is set (tests), a new one."""
+    """The folder that all executors share: the session's checkpoint folder, or, where none is set and all runs on this machine, a new one."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there and spark.sparkContext.getCheckpointDir():
         there = spark.sparkContext.getCheckpointDir()
+    if not there and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not there:
         there = "file://" + tempfile.mkdtemp(prefix="lintlake-")
         spark.sparkContext.setCheckpointDir(there)

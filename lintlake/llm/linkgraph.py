@@ -16,7 +16,8 @@ from .common import ascii_lower, drop, materialise
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 10
+TOLERANCE = 1e-6  #: of all trust, and of all distrust, that may still be on its way when the propagation ends
+STEPS = 5  #: along the links between two looks at what is left
 THRESHOLD = 0.0  #: log2 of distrust to trust above which a host is blocked
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -53,29 +54,40 @@ def domain_edges(hosts: DataFrame) -> DataFrame:
     return up.select("src", "dst", F.lit(1.0).alias("n")).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("n")))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score). edges: src, dst, n; seeds: host, weight, summing to 1. What reaches a host without links goes back to the seeds."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), "rank-edges")
-    seeds = materialise(seeds, "rank-seeds")
-    score = seeds.select("host", F.col("weight").alias("score"))
-    earlier: list[DataFrame] = []
-    for _ in range(rounds):
-        flow = score.join(steps, score.host == steps.src).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
-        # whatever does not flow on returns to the seeds, so that the scores keep their sum of 1
-        lost = 1.0 - (flow.agg(F.sum("score")).first()[0] or 0.0)
-        score = flow.unionByName(seeds.select("host", (F.col("weight") * lost).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        score = materialise(score, "rank")
-        drop(*earlier)
-        earlier = [score]
-    return score
-
-
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+    """(kind, host, score): a personalised PageRank for each kind. edges: kind, src, dst, n; seeds: kind, host, weight, summing to 1 for each kind.
+
+    What reaches a host without links goes back to the seeds. That only scales the scores, so it is left to the end: what flows from the seeds, damped
+    at every step, is added up until no kind has more than ``tolerance`` of its weight still flowing, which takes log(tolerance) / log(damping) steps at most,
+    however long the paths are.
+    """
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
+    ways = materialise(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out") * damping).alias("p")), "rank-edges")
+    score = flowing = materialise(seeds.select("kind", "host", F.col("weight").alias("score")), "rank")
+    while flowing.groupBy("kind").agg(F.sum("score").alias("left")).where(F.col("left") > tolerance).limit(1).count():
+        parts = []
+        for _ in range(steps):
+            flowing = flowing.join(ways, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
+            parts.append(flowing)
+        last = parts[-1].withColumn("last", F.lit(True))
+        for x in [score, *parts[:-1]]:
+            last = last.unionByName(x.select("kind", "host", "score").withColumn("last", F.lit(False)))
+        both = last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum(F.when(F.col("last"), F.col("score"))).alias("flowing"))
+        before, both = score, materialise(both, "rank")
+        drop(before)
+        score, flowing = both, both.where("flowing > 0").select("kind", "host", F.col("flowing").alias("score"))
+    sums = score.groupBy("kind").agg(F.sum("score").alias("sum"))
+    out = materialise(score.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("sum")).alias("score")), "rank-scores")  # sums: a row per kind
+    drop(ways, score)
+    return out
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict (allow or block), trust and distrust of the host.
 
     A null url, or one without ``://``, has an empty host and path; no rule and no link concerns it, and it is allowed. A null
-    html has no links. Hosts that neither rank reaches are allowed. Repeated rows are judged each. An empty table gives no rows.
+    html has no links; html of any length is searched in whole. Hosts that neither rank reaches are allowed, and so are those with as much trust as distrust.
+    Repeated rows are judged each. Columns other than key, url and html are not read, so their names can't clash. An empty table gives no rows.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     base = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
@@ -85,12 +97,15 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     links = host_edges(pages.select(host.alias("host"), F.col(html).alias("html")))
     links = materialise(links.unionByName(domain_edges(per_host.select("host"))).groupBy("src", "dst").agg(F.sum("n").alias("n")), "links")
     good, bad = per_host.agg(F.sum("good"), F.sum("bad")).first()
-    seeds = {k: per_host.where(F.col(k) > 0).select("host", (F.col(k) / float(n or 1)).alias("weight")) for k, n in (("good", good), ("bad", bad))}
-    trust = personalised_pagerank(links, seeds["good"], damping, rounds).withColumnRenamed("score", "trust")
-    distrust = personalised_pagerank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds["bad"], damping, rounds).withColumnRenamed("score", "distrust")
+    kinds = (("good", good, "src", "dst"), ("bad", bad, "dst", "src"))  # distrust flows against the links
+    seeds = [per_host.where(F.col(k) > 0).select(F.lit(k).alias("kind"), "host", (F.col(k) / float(n or 1)).alias("weight")) for k, n, _, _ in kinds]
+    edges = [links.select(F.lit(k).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "n") for k, _, a, b in kinds]
+    ranks = propagate(edges[0].unionByName(edges[1]), seeds[0].unionByName(seeds[1]), damping, tolerance)
+    trust, distrust = (ranks.where(F.col("kind") == k).select("host", F.col("score").alias(n)) for k, n in (("good", "trust"), ("bad", "distrust")))
     scores = per_host.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
     tiny = 1e-15
     scores = materialise(scores.withColumn("bad_host", F.log2((F.col("distrust") + tiny) / (F.col("trust") + tiny)) > threshold), "host-scores")
     verdict = F.coalesce("action", F.when(F.col("bad_host"), F.lit("block")).otherwise(F.lit("allow")))
     out = base.join(scores, "host", "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    drop(per_host, links, ranks)
     return out

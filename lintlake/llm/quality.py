@@ -1,8 +1,8 @@
 """Quality by compression: text that a dictionary of good text compresses better than one of bad text is likely good.
 
 Two zstandard dictionaries are built from labelled text. Every text is cut into blocks, since a long text soon is its own
-dictionary, and each block is compressed with both and with none; all blocks count. The difference of the two sizes,
-normalised by the larger, and the rates of compression become a probability through a calibration on other labelled rows.
+dictionary, and each block is compressed with both; all blocks count. The difference of the two sizes, normalised by the larger, becomes a
+probability through a calibration on other labelled rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, drop, materialise
@@ -20,7 +20,7 @@ from .toxicity import fit_logistic, logistic
 MAX_LABELLED = 12_000  #: labelled rows that dictionaries and calibration are made from, about
 BLOCK = 1024  #: bytes
 DICTIONARY = 65_536  #: bytes
-MAX_BLOCKS = 6_000  #: of each kind of label that a dictionary is built from
+MAX_BLOCKS = 6_000  #: of each kind of label that a dictionary is built from; every labelled row gives one before any gives a second, and so on
 LEVEL = 3
 THRESHOLD = 0.7
 
@@ -48,14 +48,13 @@ class Compressors:
             extra = {"dict_data": zstandard.ZstdCompressionDict(data)} if len(data) >= 8 else {}
             return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra).compress
 
-        self.ways = [make(good), make(bad), make(b"")]
+        self.ways = [make(good), make(bad)]
 
-    def summary(self, text: str | None) -> list[float]:
+    def difference(self, text: str | None) -> float:
+        """How much larger the text is with the bad dictionary than with the good one, as a share of the larger."""
         parts = blocks(text)
-        good, bad, none = (sum(len(way(b)) for b in parts) for way in self.ways)
-        n = max(1, sum(map(len, parts)))
-        d, g, length, p = (bad - good) / max(1, good, bad), good / n, np.log1p(n), none / n
-        return [d, g, length, p, d * d, g * g, length * length, p * p, d * g]
+        good, bad = (sum(len(way(b)) for b in parts) for way in self.ways)
+        return (bad - good) / max(1, good, bad)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED):
@@ -64,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n = wanted.count()
     part = F.pmod(F.xxhash64("k", F.lit(55)), F.lit(1 << 30))
     chosen = wanted.where(part < int((1 << 30) * min(1.0, max_labelled / max(1, n)))).withColumn("half", F.pmod(F.xxhash64("k", F.lit(56)), F.lit(2)).cast("int"))
-    rows = materialise(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").dropDuplicates(["k"]), "quality-labelled")
+    rows = materialise(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y"), F.first("half").alias("half")), "quality-labelled")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,19 +74,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     every = rows.where("half = 0").select("k", "t", "y").mapInPandas(cut, f"k {rows.schema['k'].dataType.simpleString()}, i int, y int, b binary")
     made = {}
     for y in (0, 1):
-        some = every.where(F.col("y") == y).orderBy(F.xxhash64("k", "i"), "k", "i").select("b").limit(MAX_BLOCKS).collect()  # at most MAX_BLOCKS * BLOCK bytes
+        turn = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("k", "i"), "i"))
+        some = every.where(F.col("y") == y).withColumn("turn", turn).orderBy("turn", F.xxhash64("k", "i"), "k").select("b").limit(MAX_BLOCKS).collect()  # at most MAX_BLOCKS * BLOCK bytes
         made[y] = dictionary([bytes(r[0]) for r in some])
     shared = rows.sparkSession.sparkContext.broadcast(made)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ways = Compressors(shared.value[1], shared.value[0])
         for b in batches:
-            yield pd.DataFrame({"x": [ways.summary(t) for t in b["t"]], "y": b["y"]})
+            yield pd.DataFrame({"x": [ways.difference(t) for t in b["t"]], "y": b["y"]})
 
-    got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "x array<double>, y int").toPandas()
+    got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "x double, y int").toPandas()
     drop(rows)
     y = (got["y"] > 0).to_numpy() if len(got) else np.zeros(0)
-    fitted = fit_logistic(np.array(got["x"].tolist()), y) if 0 < y.sum() < len(y) else None
+    fitted = fit_logistic(got[["x"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
     return made[1], made[0], fitted, float(y.mean()) if len(y) else 0.5
 
 
@@ -103,7 +103,7 @@ def score(docs: DataFrame, fitted, text: str = "text", name: str = "quality") ->
             if calibration is None:
                 yield pd.Series(np.full(len(texts), share))
             else:
-                yield pd.Series(logistic(np.array([ways.summary(t) for t in texts]).reshape(-1, 9), calibration))
+                yield pd.Series(logistic(np.array([ways.difference(t) for t in texts]).reshape(-1, 1), calibration))
 
     return docs.withColumn(name, quality(F.col(text)))
 
@@ -112,7 +112,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     """docs and ``name``: fitted on labels whose fold (crc32 of the key as text, modulo folds) is not held_out, applied to all rows.
 
     Null and empty texts get the score of no bytes. Null keys and labels are not learned from. Of labels that differ for a key, the
-    smaller holds; repeated documents are learned from once and scored each. Without labels of both kinds every score is the share of
+    smaller holds; documents that repeat a key are learned from once, the text that comes first in order, and scored each. Other columns pass through
+    whatever their names, but for one called ``name``, which is replaced. Without labels of both kinds every score is the share of
     good ones (0.5 if none). An empty table gives no rows.
     """
     learn = labels.where(bucket_of(F.col(key), folds) != held_out)

@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     n = wanted.count()
     part = F.pmod(F.xxhash64("k", F.lit(77)), F.lit(1 << 30))
     chosen = wanted.where(part < int((1 << 30) * min(1.0, max_labelled / max(1, n)))).withColumn("half", F.pmod(F.xxhash64("k", F.lit(78)), F.lit(2)).cast("int"))
-    rows = materialise(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").dropDuplicates(["k"]), "toxic-labelled")
+    rows = materialise(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y"), F.first("half").alias("half")), "toxic-labelled")
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,7 +319,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     """docs and ``name``: fitted on labels whose fold (crc32 of the key as text, modulo folds) is not held_out, applied to all rows.
 
     Null and empty texts get a score (that of no words). Null keys and labels are not learned from. Of labels that differ for a key, the
-    larger holds; repeated documents are learned from once and scored each. An empty table gives no rows, no labels one score for all.
+    larger holds; documents that repeat a key are learned from once, the text that comes first in order, and scored each. Other columns pass through
+    whatever their names, but for one called ``name``, which is replaced. An empty table gives no rows, no labels one score for all.
     """
     learn = labels.where(bucket_of(F.col(key), folds) != held_out)
     return score(docs, fit(docs, learn, text, key, label, max_labelled), text, name)

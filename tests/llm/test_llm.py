@@ -191,20 +191,90 @@ def test_url_parts_and_rules(spark):
     assert linkgraph.judge(pages).count() == 11 and linkgraph.judge(pages.limit(0)).count() == 0
 
 
-def test_pagerank_equals_power_iteration(spark):
-    e = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 2.0)]
-    got = dict(map(tuple, linkgraph.personalised_pagerank(spark.createDataFrame(e, "src string, dst string, n double"), spark.createDataFrame([("a", 0.5), ("d", 0.5)], "host string, weight double"), rounds=12).collect()))
-    names = "abcd"
-    m = np.zeros((4, 4))
-    for s, t, n in e:
+def power_iteration(edges, seed, names):
+    m = np.zeros((len(names),) * 2)
+    for s, t, n in edges:
         m[names.index(t), names.index(s)] += n
     m = m / np.maximum(m.sum(0), 1e-12)
-    seed = np.array([0.5, 0, 0, 0.5])
     v = seed.copy()
-    for _ in range(12):
+    for _ in range(400):
         f = 0.85 * m @ v
         v = f + seed * (1 - f.sum())
-    assert all(abs(got.get(n, 0) - x) < 1e-9 for n, x in zip(names, v, strict=True))
+    return v
+
+
+def test_pagerank_equals_power_iteration(spark):
+    e = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 2.0)]
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)]  # longer than any number of steps between two looks
+    edges = spark.createDataFrame([("x", *r) for r in e] + [("y", *r) for r in chain], "kind string, src string, dst string, n double")
+    seeds = spark.createDataFrame([("x", "a", 0.5), ("x", "d", 0.5), ("y", "h0", 1.0)], "kind string, host string, weight double")
+    got = {(r.kind, r.host): r.score for r in linkgraph.propagate(edges, seeds).collect()}
+    for kind, links, names, seed in (("x", e, list("abcd"), [0.5, 0, 0, 0.5]), ("y", chain, [f"h{i}" for i in range(31)], [1] + [0] * 30)):
+        want = power_iteration(links, np.array(seed, float), names)
+        assert all(abs(got.get((kind, n), 0) - x) < 1e-5 for n, x in zip(names, want, strict=True))
+    assert got["y", "h30"] > 0
+
+
+def test_propagated_verdicts_equal_brute_force(spark):
+    """Every verdict without a rule, from dense matrices over the same links."""
+    rng = random.Random(12)
+    hosts = [f"s{i}.{d}" for i in range(12) for d in ("example.net", "b.org", "c.de", "plain.info")]
+    rows = []
+    for i in range(150):
+        h = rng.choice(hosts)
+        links = "".join(f'<a href="https://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))
+        rows.append((i, f"https://{h}/{rng.choice(['en', 'fr', 'de'])}/{i}", links))
+    got = linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    rules = sorted([("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")], key=lambda r: -len(r[1] + r[2]))
+    good, bad, edges = defaultdict(float), defaultdict(float), defaultdict(float)
+    of = {}
+    for i, u, x in rows:
+        h, p = re.match(r"https://([^/]*)(.*)", u).groups()
+        of[i] = next((a for a, rh, rp in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)), None)
+        good[h] += of[i] == "allow"
+        bad[h] += of[i] == "block"
+        for t in re.findall(r"//([^/]*)/x", x):
+            if t != h:
+                edges[h, t] += 1
+        d = h
+        while d.count(".") > 0:
+            up = d.split(".", 1)[1]
+            edges[d, up] = edges[d, up] if (d, up) in edges else 0
+            d = up
+    for d, up in [(s, t) for s, t in edges if s.split(".", 1)[-1] == t]:
+        edges[d, up] += 1
+        edges[up, d] += 1
+    names = sorted({x for e in edges for x in e})
+    e = [(s, t, n) for (s, t), n in edges.items() if n]
+    seed = lambda w: np.array([w[n] for n in names]) / sum(w.values())
+    trust = dict(zip(names, power_iteration(e, seed(good), names), strict=True))
+    distrust = dict(zip(names, power_iteration([(t, s, n) for s, t, n in e], seed(bad), names), strict=True))
+    propagated = 0
+    for r in got.itertuples():
+        assert abs(trust[r.host] - r.trust) < 1e-5 and abs(distrust[r.host] - r.distrust) < 1e-5
+        if of[r.page_id]:
+            assert r.verdict == of[r.page_id]
+        elif abs(trust[r.host] - distrust[r.host]) > 1e-5:
+            propagated += 1
+            assert r.verdict == ("block" if distrust[r.host] > trust[r.host] else "allow")
+    assert propagated > 30
+
+
+def test_url_parts_equal_sql(spark, data):
+    import duckdb
+
+    from lintlake.llm.common import table
+
+    rich = data.replace("sf0.001", "sf0.01")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in linkgraph.judge(table(spark, rich, "pages")).collect())
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    rules = [("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block")]  # longest first
+    rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in rules)
+    action = " ".join(f"when {fits(h, p)} then '{a}'" for h, p, a in rules)
+    want = duckdb.sql(f"""with parts as (select page_id, case when instr(url, '://') > 0 then translate(regexp_extract(url[instr(url, '://') + 3:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end host,
+        case when instr(url, '://') > 0 then regexp_extract(url[instr(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) else '' end path from '{rich}/pages.parquet')
+        select page_id, host, path, case {rule} end, case {action} end from parts""").fetchall()
+    assert got == sorted(want)
 
 
 def test_ann_equals_brute_force_with_all_lists_and_ties(spark):
