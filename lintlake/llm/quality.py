@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built from labelled text. Every text is cut into blocks, since a long text soon is its own
 dictionary, and each block is compressed with both; all blocks count. The difference of the two sizes, normalised by the larger, becomes a
-probability through a calibration on other labelled rows.
+probability through a calibration on other labelled rows, in which the rate of compression with the good dictionary, and the squares and the product of both, have a part:
+junk that neither dictionary knows has a small difference and a high rate.
 """
 
 from __future__ import annotations
@@ -50,11 +51,12 @@ class Compressors:
 
         self.ways = [make(good), make(bad)]
 
-    def difference(self, text: str | None) -> float:
-        """How much larger the text is with the bad dictionary than with the good one, as a share of the larger."""
+    def summary(self, text: str | None) -> list[float]:
+        """How much larger the text is with the bad dictionary than with the good one, as a share of the larger; the rate with the good one; their squares and product."""
         parts = blocks(text)
         good, bad = (sum(len(way(b)) for b in parts) for way in self.ways)
-        return (bad - good) / max(1, good, bad)
+        d, g = (bad - good) / max(1, good, bad), good / max(1, sum(map(len, parts)))
+        return [d, g, d * d, g * g, d * g]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = MAX_LABELLED):
@@ -82,12 +84,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ways = Compressors(shared.value[1], shared.value[0])
         for b in batches:
-            yield pd.DataFrame({"x": [ways.difference(t) for t in b["t"]], "y": b["y"]})
+            yield pd.DataFrame({"x": [ways.summary(t) for t in b["t"]], "y": b["y"]})
 
-    got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "x double, y int").toPandas()
+    got = rows.where("half = 1").select("t", "y").mapInPandas(summarise, "x array<double>, y int").toPandas()
     drop(rows)
     y = (got["y"] > 0).to_numpy() if len(got) else np.zeros(0)
-    fitted = fit_logistic(got[["x"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
+    fitted = fit_logistic(np.array(got["x"].tolist()), y) if 0 < y.sum() < len(y) else None
     return made[1], made[0], fitted, float(y.mean()) if len(y) else 0.5
 
 
@@ -103,7 +105,7 @@ def score(docs: DataFrame, fitted, text: str = "text", name: str = "quality") ->
             if calibration is None:
                 yield pd.Series(np.full(len(texts), share))
             else:
-                yield pd.Series(logistic(np.array([ways.difference(t) for t in texts]).reshape(-1, 1), calibration))
+                yield pd.Series(logistic(np.array([ways.summary(t) for t in texts]).reshape(-1, 5), calibration))
 
     return docs.withColumn(name, quality(F.col(text)))
 
