@@ -690,3 +690,22 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, data):
             assert sorted(r.doc_id for r in out.collect()) == sorted({k for k, n, c, _ in rows if c == k or not n})
         docs = out
     assert 0 < docs.select("doc_id").distinct().count() < before
+
+
+def test_pipeline_stages_on_odd_tables(spark, data):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from lintlake.llm.common import materialise
+
+    df = odd_docs(spark).unionByName(spark.createDataFrame([(1, "quite another text under the same id as before", "en", "s1", 1)], DOCS), allowMissingColumns=True)
+    df = df.withColumns({c: F.lit("keep") for c in ("toxicity", "quality", "row", "mix_size", "mix_n")})
+    rows = df.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, df, data), name)
+        assert out.columns == df.columns and stage(spark, df.limit(0), data).count() == 0
+        assert {r.row for r in out.select("row").collect()} <= {"keep"} and out.count() <= 2 * rows
+        if name == "ngram_jaccard_join":
+            got = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in out.collect())
+            # of three equal rows and of the two long texts one stays; all others stay, the other text under id 1 as well
+            assert got == sorted([(1, "a b c d e f"), (1, "quite another text u"), (2, ""), (3, ""), (4, " \t\n "), (5, "w0x0 w1x1 w2x2 w3x3 "), (7, "one two")])
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, data)
+    assert packed.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
