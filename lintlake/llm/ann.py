@@ -28,7 +28,8 @@ LISTS_PER_ROOT, MOST_LISTS = 2.0, 4096
 TARGET = 0.96
 BLOCKS = (16, 32, 48)  #: dimensions read before each test
 EPSILON = 3.0
-CHUNK = 8_192  #: rows that one task holds, of one list or of several small ones
+CHUNK = 4_096  #: rows that one task holds, of one list or of several small ones
+MANY = 0.08  #: share of pairs left up to which whole blocks are multiplied
 AT_ONCE = 512  #: queries, and rows, that are compared at a time
 QUERY_EVERY = 20
 
@@ -76,31 +77,47 @@ def probes_for(sample: np.ndarray, c: np.ndarray, k: int, target: float = TARGET
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
 
 
-def scan(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, rot: np.ndarray, k: int, floor: np.ndarray | None = None, epsilon: float = EPSILON, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Rotated:
+    """Vectors, the same rotated, and the squared lengths of what is read of them after each dimension."""
+
+    def __init__(self, v: np.ndarray, rot: np.ndarray):
+        self.v, self.r = v, v @ rot
+        self.read = np.cumsum(self.r * self.r, axis=1)
+
+    def __getitem__(self, at) -> Rotated:
+        out = object.__new__(Rotated)
+        out.v, out.r, out.read = self.v[at], self.r[at], self.read[at]
+        return out
+
+
+def scan(q: Rotated, x: Rotated, q_ids: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray | None = None, epsilon: float = EPSILON, blocks=BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, score) of the k nearest rows of x for each row of q, by score, then id; the row with the query's own id aside. floor: scores below which nothing is wanted."""
-    dim = q.shape[1]
-    qr, xr = q @ rot, x @ rot
+    qr, xr, q_read, x_read, dim = q.r, x.r, q.read, x.read, q.r.shape[1]
     stops = [b for b in blocks if b < dim] or [dim]
-    q_read, x_read = (np.cumsum(v * v, axis=1) for v in (qr, xr))  # squared lengths of the dimensions read so far
+    q, x = q.v, x.v
     floor = np.full(len(q), -np.inf) if floor is None else floor.astype(float)
     found: list[list[np.ndarray]] = [[], [], []]
     best = np.full((len(q), k), -np.inf)
     for lo in range(0, len(x), AT_ONCE):
         part = slice(lo, lo + AT_ONCE)
         least = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-        b = stops[0]
-        score = qr[:, :b] @ xr[part, :b].T
         both = q_read[:, -1:] + x_read[None, part, -1]
         most = both - 2 * least[:, None] + 1e-9 * both  # squared distance that the least wanted score means
-        gone = q_read[:, b - 1 : b] + x_read[None, part, b - 1] - 2 * score
         share = lambda b: (1 + epsilon / np.sqrt(b)) ** 2 * (b / dim) if b < dim else 1.0
-        i, j = np.nonzero((gone <= share(b) * most) & (q_ids[:, None] != x_ids[None, part]))
+        alive, score, start = q_ids[:, None] != x_ids[None, part], np.zeros(both.shape), 0
+        for n, b in enumerate(stops):  # all pairs, as long as many are left
+            score += qr[:, start:b] @ xr[part, start:b].T
+            alive &= q_read[:, b - 1 : b] + x_read[None, part, b - 1] - 2 * score <= share(b) * most
+            start = b
+            if np.count_nonzero(alive) < MANY * alive.size:
+                break
+        i, j = np.nonzero(alive)
         so_far, most = score[i, j], most[i, j]
-        for start, b in zip(stops, [*stops[1:], dim], strict=True):  # from here on pair by pair
+        for b in [*stops[n + 1 :], dim]:  # from here on pair by pair
             if b > start:
                 so_far = so_far + np.einsum("ij,ij->i", qr[i, start:b], xr[lo + j, start:b])
                 alive = q_read[i, b - 1] + x_read[lo + j, b - 1] - 2 * so_far <= share(b) * most
-                i, j, so_far, most = i[alive], j[alive], so_far[alive], most[alive]
+                i, j, so_far, most, start = i[alive], j[alive], so_far[alive], most[alive], b
         keep = so_far >= least[i]
         i, j, so_far = i[keep], j[keep], so_far[keep]
         if not len(i):
@@ -217,15 +234,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = QUERY_EVERY, lists: int
                 held_chunk, x_ids, x, x_list = chunk_id, np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int32)
             if len(rows):
                 x_ids, x, x_list = np.r_[x_ids, rows["id"].to_numpy()], np.vstack([x, np.stack(rows["v"].to_numpy())]), np.r_[x_list, rows["list"].to_numpy()]
+            if len(asked) and len(x):
+                turned = Rotated(x, shared.value[1])
             for lo in range(0, len(asked) if len(x) else 0, AT_ONCE):
                 a = asked.iloc[lo : lo + AT_ONCE]
-                q, q_ids, floor = np.stack(a["v"].to_numpy()), a["id"].to_numpy(), a["floor"].to_numpy(float)
+                q, q_ids, floor = Rotated(np.stack(a["v"].to_numpy()), shared.value[1]), a["id"].to_numpy(), a["floor"].to_numpy(float)
                 wanted = np.zeros((len(a), lists), bool)
                 wanted[np.repeat(np.arange(len(a)), a["lists"].map(len)), np.concatenate(a["lists"].to_list())] = True
                 for v in np.unique(x_list):
                     at, mine = np.flatnonzero(wanted[:, v]), np.flatnonzero(x_list == v)
                     if len(at):
-                        i, j, score = scan(q[at], x[mine], q_ids[at], x_ids[mine], shared.value[1], k, floor[at])
+                        i, j, score = scan(q[at], turned[mine], q_ids[at], x_ids[mine], k, floor[at])
                         if len(i):
                             yield pd.DataFrame({"query_id": q_ids[at][i], "vec_id": x_ids[mine][j], "score": score})
 

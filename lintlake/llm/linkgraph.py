@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop, materialise
+from .common import ascii_lower, drop, materialise, sweep
 
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -75,6 +75,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         both = last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum(F.when(F.col("last"), F.col("score"))).alias("flowing"))
         before, both = score, materialise(both, "rank")
         drop(before)
+        del parts, last, x
+        sweep(edges.sparkSession)
         score, flowing = both, both.where("flowing > 0").select("kind", "host", F.col("flowing").alias("score"))
     sums = score.groupBy("kind").agg(F.sum("score").alias("sum"))
     out = materialise(score.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("sum")).alias("score")), "rank-scores")  # sums: a row per kind
