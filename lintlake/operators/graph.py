@@ -27,6 +27,8 @@ def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_nod
     edges: src, dst; sources, sinks: node. A round adds an edge to every open path; paths at a sink are closed.
     """
     edges = edges.select("src", "dst").distinct()
+    if max_nodes < 2:
+        return sources.select(F.array("node").alias("path"), F.lit(1).alias("n_nodes")).where(F.lit(False))
     ends = sinks.select("node").distinct().withColumn("is_sink", F.lit(True))
     open_ = sources.select("node").distinct().select(F.array("node").alias("path"), F.col("node").alias("at"))
     done = None

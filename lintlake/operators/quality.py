@@ -48,3 +48,10 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 def exit_code(errors: Column, findings: Column, suppressed: bool = False) -> Column:
     return F.when(errors > 0, 2).when((findings > 0) & ~F.lit(suppressed), 1).otherwise(0)
+
+
+def scan_totals(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files (file_path, reason), those scanned (no reason), those with findings, and findings. Counts by file come before the join."""
+    per = findings.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
+    met = files.select("file_path", "reason").join(per, "file_path", "left")
+    return met.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("reason").isNull()).alias("scanned"), F.count("_n").alias("with_issues"), F.coalesce(F.sum("_n"), F.lit(0)).alias("issues"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern, Rule
 from ..functions.text import code_only, fingerprint, looks_secret
 from ..operators import crossfile, findings, graph, incremental, joins, match, quality, suppress
 from ..session import table
+from ..sources.files import skip_reason
 from .dims import REMEDIATION, language_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +42,13 @@ def scan_lines(spark, d):
     return _lines(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"), F.max("line").alias("longest"), F.sum(F.length("line_text")).alias("chars"))
 
 
-@query("""select case when n > 20000 then 'too_large' when n = 0 then 'empty' when kind = 'page' and url like '%.html%' then 'excluded' else 'scanned' end as reason, count(*) as n_files, cast(sum(n) as bigint) as bytes
-  from (select 'doc' as kind, '' as url, length(text) as n from documents union all select 'page', url, length(html) from pages) group by 1""")
+@query("""select case when k = 1 then 'excluded' when k = 2 then 'unsupported_type' when n > 20000 then 'too_large' end as reason, count(*) as n_files, cast(sum(n) as bigint) as bytes
+  from (select doc_id % 7 as k, length(text) as n from documents) group by 1""")
 def skip_reasons(spark, d):
-    files = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.lit("").alias("url"), F.length("text").alias("n")).unionAll(table(spark, d, "pages").select(F.lit("page"), "url", F.length("html")))
-    reason = F.when(F.col("n") > 20000, "too_large").when(F.col("n") == 0, "empty").when((F.col("kind") == "page") & F.contains("url", F.lit(".html")), "excluded").otherwise("scanned")
-    return files.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("bytes"))
+    folder = F.when(F.col("doc_id") % 7 == 1, "vendor/").otherwise("src/")
+    kind = F.when(F.col("doc_id") % 7 == 2, ".qqq").otherwise(".py")
+    files = table(spark, d, "documents").select(F.concat(folder, F.col("doc_id").cast("string"), kind).alias("file_path"), F.length("text").alias("size"))
+    return files.groupBy(skip_reason(F.col("file_path"), F.col("size"), max_bytes=20000).alias("reason")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
 @query("""with a(alias, language) as (values ('py','python'),('js','javascript'),('go','go'),('c++','cpp')), x(ext, language) as (values ('.html','typescript'),('.py','python'),('.java','java'))
@@ -71,19 +73,19 @@ MATCHES_SQL = """m as (select doc_id, lang, file_path, line, 'text.hardcoded-sec
   f as (select * from m where regexp_matches(var, '(?i)(password|passwd|pwd|secret|token|api_?key)') and not regexp_matches(secret, '^(changeme|example|sample|test|null|none)$'))"""
 
 
-@query("with " + LINES_SQL + ", " + MATCHES_SQL + " select doc_id, line, rule_id, severity, var, secret, length(secret) >= 12 and length(secret) >= 20 as is_real from f")
+@query("with " + LINES_SQL + ", " + MATCHES_SQL + " select doc_id, line, rule_id, severity, var, secret, length(secret) >= 12 and (length(regexp_replace(secret, '[^A-Za-z0-9+/=_\\-]', '', 'g')) >= 16 or length(secret) >= 20) as is_real from f")
 def rule_secrets(spark, d):
     got = _matches(spark, d, [SECRET])
-    return got.select("doc_id", "line", "rule_id", "severity", F.col("captures")["VAR"].alias("var"), F.col("captures")["SECRET"].alias("secret")).withColumn("is_real", looks_secret(F.col("secret")) & (F.length("secret") >= 20))
+    return got.select("doc_id", "line", "rule_id", "severity", F.col("captures")["VAR"].alias("var"), F.col("captures")["SECRET"].alias("secret")).withColumn("is_real", looks_secret(F.col("secret")))
 
 
 @query("with " + LINES_SQL + """, w as (select doc_id, line, case when regexp_matches(line_text, '\\S+\\s*under\\s*the\\s*\\S+') then 'text.license' end as a, case when regexp_matches(line_text, 'Version\\s*\\S+') then 'text.version' end as b from l)
-  select doc_id, line, coalesce(a, b) as rule_id from w where a is not null or b is not null""")
+  select doc_id, line, coalesce(a, b) as rule_id from w where (a is not null or b is not null) and not (doc_id % 5 = 0 and line % 2 = 0)""")
 def rule_multi_dedupe(spark, d):
     version = Rule("text.version", "text", "LOW", "A version.", "LICENSE", (Pattern("Version $V"),))
     got = _matches(spark, d, [LICENSE, version])
-    none = got.where(F.lit(False)).select("file_path", "line", "vuln_type")
-    return match.drop_reported(got, none).select("doc_id", "line", "rule_id")
+    reported = _lines(spark, d).where("doc_id % 5 = 0 and line % 2 = 0").select("file_path", "line", F.lit("LICENSE").alias("vuln_type"))
+    return match.drop_reported(got, reported).select("doc_id", "line", "rule_id")
 
 
 PAGE_PATTERNS = [("sink", "script", "re", r"<script\b", "*", "XSS", "High", "CWE-79"), ("sink", "style", "sub", "<style", "html", "OTHER", "Low", ""), ("sink", "link", "re", r"href\s*=", "html", "OPEN_REDIRECT", "Medium", ""), ("sink", "nav", "sub", "<NAV", "html", "OTHER", "Low", "")]
@@ -130,13 +132,7 @@ def nearline_dedupe(spark, d):
     return findings.thin_lines(days, 90, ["l_partkey"], line="day")
 
 
-@query("""select l_orderkey, l_linenumber, l_returnflag, l_quantity from (select *, row_number() over (partition by l_orderkey, l_returnflag order by l_quantity desc, l_linenumber, l_partkey, l_suppkey) as n from lineitem) where n = 1""")
-def best_of_group(spark, d):
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-
-
-FOUND_SQL = LINES_SQL + ", lic as (select doc_id, file_path, line, 'text.license' as rule_id, 'LICENSE' as vuln_type from l where regexp_matches(line_text, '\\S+\\s*under\\s*the\\s*\\S+')), fp as (select *, substr(sha256(rule_id || '|' || file_path || '|' || line), 1, 16) as fingerprint from lic)"
+FOUND_SQL = LINES_SQL + ", lic as (select doc_id, file_path, line, 'text.license' as rule_id, 'LICENSE' as vuln_type, regexp_extract(line_text, '\\S+\\s*under\\s*the\\s*\\S+') as details from l where regexp_matches(line_text, '\\S+\\s*under\\s*the\\s*\\S+')), fp as (select *, substr(sha256(rule_id || '|' || file_path || '|' || line), 1, 16) as fingerprint from lic)"
 
 
 def _found(spark, d) -> DataFrame:
@@ -158,10 +154,10 @@ def baseline_semi(spark, d):
     return suppress.known_findings(_found(spark, d), _baseline(spark, d)).select("fingerprint", "doc_id", "line")
 
 
-@query("with " + FOUND_SQL + " select doc_id, line from fp f where not exists (select 1 from (select file_path, line, case when doc_id % 4 = 0 then 'under the' else '' end as details from fp where doc_id % 2 = 0) m where m.file_path = f.file_path and m.line = f.line and m.details = '')")
+@query("with " + FOUND_SQL + " select doc_id, line from fp f where not exists (select 1 from (select file_path, line, case when doc_id % 4 = 0 then 'seen: ' || details when doc_id % 8 = 2 then 'other' else '' end as details from fp where doc_id % 2 = 0) m where m.file_path = f.file_path and m.line = f.line and (m.details = '' or contains(m.details, f.details)))")
 def fp_marks(spark, d):
     f = _found(spark, d)
-    marks = f.where("doc_id % 2 = 0").select("file_path", "line", "vuln_type", F.when(F.col("doc_id") % 4 == 0, "under the").otherwise("").alias("details"))
+    marks = f.where("doc_id % 2 = 0").select("file_path", "line", "vuln_type", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("seen: "), "details")).when(F.col("doc_id") % 8 == 2, "other").otherwise("").alias("details"))
     return suppress.drop_marked(f, marks).select("doc_id", "line")
 
 
@@ -213,16 +209,6 @@ def asof_guard(spark, d):
     return joins.latest_before(e, ["user_id"], ["s", "event_id"], F.when(F.col("event_type") == "click", F.col("event_id")), "click_id").select("event_id", "click_id")
 
 
-@query("with " + EV + """, o as (select user_id, event_id, event_type, row_number() over (partition by user_id order by s, event_id) as n from e where event_type in ('click', 'purchase')),
-  t as (select user_id, list(event_type order by n) as l from o group by 1)
-  select user_id, len(l) as n_ops, list_reduce(list_prepend(0, list_transform(l, lambda x: case when x = 'click' then 1 else -1 end)), lambda a, x: case when a + x < 0 then 0 else a + x end) as still_open from t""")
-def lock_stack(spark, d):
-    e = _events(spark, d).where(F.col("event_type").isin("click", "purchase"))
-    depth = F.aggregate("l", F.lit(0), lambda a, x: F.greatest(a + F.when(x["event_type"] == "click", 1).otherwise(-1), F.lit(0)))
-    got = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", "event_id", "event_type"))).alias("l"))
-    return got.select("user_id", F.size("l").cast("long").alias("n_ops"), depth.alias("still_open"))
-
-
 _TYPES = list(REMEDIATION)
 
 
@@ -250,9 +236,8 @@ def severity_counts(spark, d):
 
 @query("with " + FOUND_SQL + " select (select count(*) from documents) as files, (select count(*) from documents where length(text) <= 20000) as scanned, count(distinct doc_id) as with_issues, count(*) as issues from fp")
 def scan_stats(spark, d):
-    docs = table(spark, d, "documents")
-    per = _found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return docs.select("doc_id", F.length("text").alias("size")).join(per, "doc_id", "left").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.expr("size <= 20000")).alias("scanned"), F.count("n").alias("with_issues"), F.coalesce(F.sum("n"), F.lit(0)).alias("issues"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("file_path"), F.when(F.length("text") > 20000, "too_large").alias("reason"))
+    return quality.scan_totals(files, _found(spark, d))
 
 
 PRED_SQL = "p as (select d.lang, d.source, l.quality = 0 as bad, regexp_matches(d.text, '[*&$%#!]{2}') as found from documents d join labels l using (doc_id))"
@@ -282,11 +267,6 @@ def quality_gate(spark, d):
     return quality.gates(counts, limits, ["lang"]).select("lang", "passed", "broken")
 
 
-@query("""select l_returnflag, l_linestatus, count(*) as n, min(l_linenumber) as first_line, min(l_shipdate) as first_ship from lineitem group by rollup (l_returnflag, l_linestatus)""")
-def tree_rollup(spark, d):
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("first_line"), F.min("l_shipdate").alias("first_ship"))
-
-
 @query("with " + LINES_SQL + """, a as (select distinct lang, doc_id, line from l where regexp_matches(line_text, '(?i)license')), b as (select distinct lang, doc_id, line from l where length(line_text) < 60)
   select coalesce(a.lang, b.lang) as lang, count(*) filter (where a.doc_id is not null and b.doc_id is not null) as "both", count(*) filter (where b.doc_id is null) as only_a, count(*) filter (where a.doc_id is null) as only_b from a full join b using (lang, doc_id, line) group by 1""")
 def compare_sets(spark, d):
@@ -294,19 +274,13 @@ def compare_sets(spark, d):
     return quality.compare(lines.where(F.col("line_text").rlike("(?i)license")), lines.where(F.length("line_text") < 60), ["lang", "doc_id", "line"], "lang")
 
 
-@query("select o_orderkey, o_orderpriority, o_totalprice from orders order by o_orderpriority, o_totalprice desc, o_orderkey limit 20")
-def topk_findings(spark, d):
-    return table(spark, d, "orders").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority", "o_totalprice")
-
-
 # a layered graph: customers' nations -> regions -> nations -> suppliers
 EDGES_SQL = """edges(src, dst) as (select distinct 'c' || c_nationkey, 'r' || n_regionkey from customer join nation on n_nationkey = c_nationkey union select distinct 'r' || n_regionkey, 'n' || n_nationkey from nation
-  union select distinct 'n' || s_nationkey, 's' || s_suppkey from supplier where s_suppkey <= 40 union select distinct 's' || s_suppkey, 'r' || n_regionkey from supplier join nation on n_nationkey = s_nationkey where s_suppkey <= 40)"""
+  union select distinct 'n' || s_nationkey, 's' || s_suppkey from supplier union select distinct 's' || s_suppkey, 'r' || n_regionkey from supplier join nation on n_nationkey = s_nationkey)"""
 
 
 def _edges(spark, d) -> DataFrame:
     n, c, s = (table(spark, d, t) for t in ("nation", "customer", "supplier"))
-    s = s.where("s_suppkey <= 40")
     name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     a = c.select("c_nationkey").distinct().join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(name("c", "c_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
     b = n.select(name("r", "n_regionkey"), name("n", "n_nationkey"))
@@ -389,10 +363,10 @@ def affected_files(spark, d):
 
 
 @query("""with recursive calls as (select n_nationkey as caller, n_regionkey as caller_param, (n_nationkey * 3 + 1) % 25 as callee, n_regionkey as callee_param from nation union select n_nationkey, (n_regionkey + 1) % 5, (n_nationkey + 5) % 25, n_regionkey from nation),
-  known(func, param, finding) as (select distinct s_nationkey, s_suppkey % 5, 'F' || (s_suppkey % 3) from supplier where s_suppkey <= 30 union select c.caller, c.caller_param, k.finding from known k join calls c on c.callee = k.func and c.callee_param = k.param)
+  known(func, param, finding) as (select distinct s_nationkey, s_suppkey % 5, 'F' || (s_suppkey % 3) from supplier union select c.caller, c.caller_param, k.finding from known k join calls c on c.callee = k.func and c.callee_param = k.param)
   select cast(func as bigint) as func, cast(param as bigint) as param, finding from known""")
 def contract_fixpoint(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier").where("s_suppkey <= 30")
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     k, r = F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")
     calls = n.select(k.alias("caller"), r.alias("caller_param"), ((k * 3 + 1) % 25).alias("callee"), r.alias("callee_param")).union(n.select(k, (r + 1) % 5, (k + 5) % 25, r))
     contracts = s.select(F.col("s_nationkey").cast("long").alias("func"), (F.col("s_suppkey") % 5).alias("param"), F.concat(F.lit("F"), (F.col("s_suppkey") % 3).cast("string")).alias("finding"))
@@ -425,34 +399,32 @@ def debounce(spark, d):
     return settled(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", 1800.0).select("event_id", "user_id")
 
 
-@query("select conv_id, turn, role from (select conv_id, turn, role, max(case when role = 'user' then turn end) over (partition by conv_id) as newest from conversations) where turn >= newest")
+@query("""with v as (select conv_id, max(turn) as newest from conversations where role = 'user' group by 1) select c.conv_id, turn, role from conversations c join v using (conv_id) where turn >= newest""")
 def version_guard(spark, d):
-    newest = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", newest.alias("newest")).where("turn >= newest").drop("newest")
+    from ..streaming.documents import newest_only
+
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("turn").alias("version"))
+    return newest_only(turns, turns.where("role = 'user'"), "conv_id").select("conv_id", "turn", "role")
 
 
-@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id < 10)
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select * from v where vec_id % 20 = 0)
   select query_id, vec_id, rank from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.e, v.e), 9) desc, v.vec_id) as rank from q, v where v.vec_id <> q.vec_id) where rank <= 5""")
 def embed_topk(spark, d):
-    """Ten queries against all vectors; the queries are a fixed few, so they go to each partition as one row."""
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = v.where("vec_id < 10").agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))).alias("qs"))
-    met = v.join(F.broadcast(q)).select("vec_id", "e", F.inline("qs")).where("vec_id <> query_id")
-    score = F.round(dot(F.col("q"), F.col("e")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("e"), F.col("e"))), 9)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "vec_id", "rank")
+    return joins.nearest_vectors(v.where("vec_id % 20 = 0"), v, "vec_id", "e", 5)
 
 
-@query()
+@query("with " + FOUND_SQL + """ select rule_id, file_path, line, cast(to_json({ruleId: rule_id, level: 'note', message: {text: 'A license line.'}, locations: [{physicalLocation: {artifactLocation: {uri: file_path}, region: {startLine: line}}}]}) as varchar) as result from fp""")
 def sarif_rows(spark, d):
     from ..sinks.reports import sarif_results
 
     return sarif_results(_found(spark, d).withColumn("severity", F.lit("Low")))
 
 
-@query("select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+@query("select date_trunc('day', ts) as start, event_type, count(*) as count from events group by 1, 2")
 def watermark_window(spark, d):
     """An addition: tumbling windows, whose streaming form has a watermark."""
-    day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("timestamp_ntz")
-    return table(spark, d, "events").groupBy(day.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    from ..streaming.documents import windowed_counts
+
+    got = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_type"], "1 hour")
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))

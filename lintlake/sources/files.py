@@ -42,6 +42,12 @@ def ignored(rel: Column, excluded_dirs: Iterable[str] = EXCLUDED_DIRS, excluded_
     return out | name.startswith(".") & ~name.isin(*DOT_FILES)
 
 
+def skip_reason(rel: Column, size: Column, excluded_dirs: Iterable[str] = EXCLUDED_DIRS, excluded_files: Iterable[str] = (), patterns: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> Column:
+    """Why a file isn't scanned (excluded, unsupported_type, too_large); null if it is."""
+    unsupported = language_of(F.lit(None).cast("string"), rel).isNull()
+    return F.when(ignored(rel, excluded_dirs, excluded_files, patterns), "excluded").when(unsupported, "unsupported_type").when(size > max_bytes, "too_large")
+
+
 @F.pandas_udf(T.StringType())
 def lenient_utf8(content: pd.Series) -> pd.Series:
     """Bytes that are not UTF-8 are dropped; the built-in decode would replace or refuse them."""
@@ -55,7 +61,7 @@ def walk(spark: SparkSession, root: str, excluded_dirs: Iterable[str] = EXCLUDED
     rel = F.regexp_replace(F.regexp_replace("path", r"\A[a-z]+:/*", "/"), r"\A\Q" + base + r"\E/*", "")
     seen = files.select(rel.alias("file_path"), F.col("length").alias("size"), "content")
     seen = seen.withColumn("language", language_of(F.lit(None).cast("string"), F.col("file_path")))
-    why = F.when(ignored(F.col("file_path"), excluded_dirs, excluded_files, patterns), "excluded").when(F.col("language").isNull(), "unsupported_type").when(F.col("size") > max_bytes, "too_large")
+    why = skip_reason(F.col("file_path"), F.col("size"), excluded_dirs, excluded_files, patterns, max_bytes)
     return seen.withColumn("reason", why).withColumn("code", F.when(F.col("reason").isNull(), normalise_newlines(lenient_utf8(F.when(F.col("reason").isNull(), F.col("content")))))).drop("content")
 
 
@@ -107,4 +113,4 @@ def in_python(files: DataFrame, facts, schema: str) -> DataFrame:
     return files.select("file_path", "language", "code").mapInPandas(run, schema)
 
 
-__all__ = ["changed_files", "changed_lines", "ignored", "in_python", "lenient_utf8", "lines_of", "read_baseline", "read_marks", "read_truth", "walk"]
+__all__ = ["changed_files", "changed_lines", "ignored", "in_python", "lenient_utf8", "lines_of", "read_baseline", "read_marks", "read_truth", "skip_reason", "walk"]
