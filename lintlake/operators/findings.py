@@ -95,5 +95,5 @@ def merge_findings(found: DataFrame, more: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "related"))), lambda x: x["related"]))).alias("related"), *[F.min_by(c, "_from").alias(c) for c in rest]).select(*found.columns)
 
 
-def by_priority(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(severity_rank(F.col("severity")).desc(), "line", "message", "file_path")
+def by_priority(findings: DataFrame, *ties: str) -> DataFrame:
+    return findings.orderBy(severity_rank(F.col("severity")).desc(), "line", "message", "file_path", *ties)
