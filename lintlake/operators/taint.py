@@ -28,12 +28,12 @@ def assignments(lines: DataFrame) -> DataFrame:
     return out
 
 
-def nodes(assigns: DataFrame, calls: DataFrame) -> DataFrame:
+def nodes(assigns: DataFrame, calls: DataFrame, patterns=PATTERNS) -> DataFrame:
     """id, name, node_type (source, sanitizer, variable, sink), file_path, line, pattern.
 
-    A variable that is cleaned is a sanitizer, else one that takes input a source. calls (file_path, language, line, text): those that fit a sink.
+    A variable that is cleaned is a sanitizer, else one that takes input a source. calls (file_path, language, line, text): those that fit a sink. patterns: the registry, or one that extends it.
     """
-    cleaner, source, sink = (lambda c, k=k: first_registered(F.col(c), F.col("language"), PATTERNS, k) for k in ("sanitizer", "source", "sink"))
+    cleaner, source, sink = (lambda c, k=k: first_registered(F.col(c), F.col("language"), patterns, k) for k in ("sanitizer", "source", "sink"))
     kind = F.when(F.col("cleaner").isNotNull(), "sanitizer").when(F.col("source").isNotNull(), "source").otherwise("variable")
     a = assigns.withColumns({"cleaner": cleaner("rhs"), "source": source("rhs")}).select(node_id(F.col("file_path"), F.col("line"), F.lit(0), F.col("lhs")).alias("id"), F.col("lhs").alias("name"), kind.alias("node_type"), "file_path", "line", F.coalesce("cleaner", "source").alias("pattern"), F.col("rhs").alias("text"))
     s = calls.withColumn("pattern", sink("text")).where("pattern is not null").select(node_id(F.col("file_path"), F.col("line"), F.lit(1), F.col("pattern")).alias("id"), F.col("pattern").alias("name"), F.lit("sink").alias("node_type"), "file_path", "line", "pattern", "text")

@@ -372,7 +372,7 @@ def frameworks(spark, d):
     return table(spark, d, "documents").select("doc_id", enrich.framework_of(pick(0), pick(1)).alias("framework"))
 
 
-REMEDIES = [("SQL_INJECTION", "x(req.query.id)", "mysql2", "await connection.execute('SELECT * FROM t WHERE id = ?', [req.query.id])"), ("SQL_INJECTION", "run(sql)", None, "bind sql as a parameter"), ("XSS_RISK", "show(a, 'input')", None, "escape(value)"), ("SSRF", "get(request.json)", "flask", "allow request.json only if its host is listed"), ("OTHER", "x", None, None)]
+REMEDIES = [("SQL_INJECTION", "x(req.query.id)", "mysql2", "await connection.execute('SELECT * FROM t WHERE id = ?', [req.query.id])"), ("SQL_INJECTION", "run(sql)", None, "bind sql as a parameter"), ("XSS_RISK", "show(a, 'input', b)", None, "escape(value)"), ("SSRF", "get(request.json)", "flask", "allow request.json only if its host is listed"), ("OTHER", "x", None, None)]
 
 
 @query(f"select doc_id, r as remedy_code from (select doc_id, doc_id % 5 as k from documents) join (select row_number() over () - 1 as k, r from (values {_sql_values(REMEDIES)}) v(t, c, f, r)) using (k)")
