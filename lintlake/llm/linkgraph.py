@@ -62,25 +62,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     however long the paths are.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
-    ways = materialise(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out") * damping).alias("p")), "rank-edges")
-    score = flowing = materialise(seeds.select("kind", "host", F.col("weight").alias("score")), "rank")
-    while flowing.groupBy("kind").agg(F.sum("score").alias("left")).where(F.col("left") > tolerance).limit(1).count():
-        parts = []
+    ways = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out") * damping).alias("p"))
+    # a way of each host to itself, on which its sum travels: so a step is one join and one aggregation
+    hosts = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(seeds.select("kind", "host")).distinct()
+    ways = materialise(ways.unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("p"))), "rank-edges")
+    state = materialise(seeds.select("kind", "host", F.col("weight").alias("flowing"), F.col("weight").alias("score")), "rank")
+    while state.groupBy("kind").agg(F.sum("flowing").alias("left")).where(F.col("left") > tolerance).limit(1).count():
+        new = state
         for _ in range(steps):
-            flowing = flowing.join(ways, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
-            parts.append(flowing)
-        last = parts[-1].withColumn("last", F.lit(True))
-        for x in [score, *parts[:-1]]:
-            last = last.unionByName(x.select("kind", "host", "score").withColumn("last", F.lit(False)))
-        both = last.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum(F.when(F.col("last"), F.col("score"))).alias("flowing"))
-        before, both = score, materialise(both, "rank")
+            flow = F.coalesce(F.col("flowing") * F.col("p"), F.lit(0.0))
+            kept = F.when(F.col("p").isNull(), F.col("score")).otherwise(0.0)
+            new = new.join(ways, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(flow).alias("flowing"), F.sum(kept + flow).alias("score"))
+        before, state = state, materialise(new, "rank")
         drop(before)
-        del parts, last, x
+        del new, before
         sweep(edges.sparkSession)
-        score, flowing = both, both.where("flowing > 0").select("kind", "host", F.col("flowing").alias("score"))
-    sums = score.groupBy("kind").agg(F.sum("score").alias("sum"))
-    out = materialise(score.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("sum")).alias("score")), "rank-scores")  # sums: a row per kind
-    drop(ways, score)
+    sums = state.groupBy("kind").agg(F.sum("score").alias("sum"))
+    out = materialise(state.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("sum")).alias("score")).where("score > 0"), "rank-scores")  # sums: a row per kind
+    drop(ways, state)
     return out
 
 
