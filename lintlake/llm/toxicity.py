@@ -1,8 +1,8 @@
 """Toxicity behind disguise: a noisy channel turns leetspeak, spaced letters and stretched letters back into words, then the words are scored.
 
 A disguised token is a lattice: each character it shows may stand for itself, for the letters it imitates, for a repeat of
-the letter before, or for nothing. Viterbi finds the likeliest letters under a character trigram model counted over all
-documents. Plain tokens pass through. Words and word beginnings are then weighed by how much likelier labelled toxic documents
+the letter before, or for nothing; in a run of spaced letters each gap may be inside a word or between two. Viterbi finds the
+likeliest letters and word ends under a character trigram model counted over all documents. Plain tokens pass through. Words and word beginnings are then weighed by how much likelier labelled toxic documents
 hold them, and the strongest weights of a document are calibrated to a probability.
 """
 
@@ -33,6 +33,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 N = len(ALPHABET) + 2  #: 0 is a word's edge, N - 1 any letter that is not Latin
 SAME, IMITATED, DROPPED, IGNORED, REPEATED = (math.log(p) for p in (0.9, 0.7, 0.05, 0.0005, 0.3))
+INSIDE, BETWEEN = math.log(0.8), math.log(0.2)  #: a gap of a run of spaced letters is inside a word or ends one; the other way round if it is wider than the run's others
 
 #: Latin letters with marks, by the letter that they are made from
 BASES = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľł", "n": "ñńņň", "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşšß", "t": "ţťŧ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
@@ -87,28 +88,44 @@ class Restorer:
     def symbol(self, c: str) -> int:
         return int(self.table[min(ord(c), 0xFFFF)])
 
-    def decode(self, shown: str, keep: bool = False) -> str:
-        """The likeliest letters; the state of a path is its last two symbols. keep: no imitation of a letter is ignored."""
+    def decode(self, shown: str, keep: bool = False, spaced: bool = False) -> str:
+        """The likeliest letters; the state of a path is its last two symbols. keep: no imitation of a letter is ignored.
+        spaced: single letters with gaps, each of which ends a word (a space in what is returned) or not.
+
+        No word has a letter more than three times on end, so further showings are repeats on every path and are left out.
+        """
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
-        for c in shown:
-            options = [(c, self.symbol(c), SAME)] if c.isalpha() else []
-            options += [(x, self.symbol(x), IMITATED - math.log(len(LEET[c]))) for x in LEET.get(c, "")]
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-
-            def offer(state, score, path, new=new):
-                if state not in new or new[state][0] < score:
-                    new[state] = (score, path)
-
-            for (a, b), (score, path) in paths.items():
-                rows = self.model[a][b]
-                for letter, s, p in options:
-                    offer((b, s), score + p + rows[s], (path, letter))
-                if c == before and b:
-                    offer((a, b), score + REPEATED, path)
-                elif not c.isalpha() and not (keep and c in LEET):
-                    offer((a, b), score + (IGNORED if c in LEET else DROPPED), path)
-            paths, before = new, c
+        nodes = [x for x in GAP.split(shown) if x] if spaced else [LONG_RUN.sub(r"\1\1\1", shown)]
+        narrow = min((len(x) for x in nodes if GAP.match(x)), default=0) if spaced else 0
+        for node in nodes:
+            gap = spaced and GAP.match(node)
+            for c in (" ",) if gap else node:
+                options = [(c, self.symbol(c), SAME)] if c.isalpha() else []
+                options += [(x, self.symbol(x), IMITATED - math.log(len(LEET[c]))) for x in LEET.get(c, "")]
+                new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+
+                def offer(state, score, path, new=new):
+                    if state not in new or new[state][0] < score:
+                        new[state] = (score, path)
+
+                if gap:
+                    inside, between = (BETWEEN, INSIDE) if len(node) > narrow else (INSIDE, BETWEEN)
+                    for (a, b), (score, path) in paths.items():
+                        offer((a, b), score + inside, path)
+                        if b:
+                            offer((b, 0), score + between + self.model[a][b][0], (path, " "))
+                    paths = new
+                    continue
+                for (a, b), (score, path) in paths.items():
+                    rows = self.model[a][b]
+                    for letter, s, p in options:
+                        offer((b, s), score + p + rows[s], (path, letter))
+                    if c == before and b:
+                        offer((a, b), score + REPEATED, path)
+                    elif not c.isalpha() and not (keep and c in LEET):
+                        offer((a, b), score + (IGNORED if c in LEET else DROPPED), path)
+                paths, before = new, c
         best = max(((s + self.model[a][b][0], p) for (a, b), (s, p) in paths.items()), key=lambda x: x[0], default=(0.0, None))[1]
         out = []
         while best is not None:
@@ -117,7 +134,6 @@ class Restorer:
         return "".join(reversed(out))
 
     def _restored(self, inner: str) -> tuple[str, ...]:
-        inner = squeeze(inner)
         return tuple(dict.fromkeys(filter(None, (self.decode(inner), self.decode(inner, keep=True)))))
 
     def token(self, word: str) -> tuple[str, ...]:
@@ -136,23 +152,30 @@ MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»
 OUTER = "".join(c for c in MARKS if c not in LEET) + "".join(c for c in "!#%&+(<|*")
 #: a letter and an imitation or a mark inside, or a stretched letter
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£#%&*]|[0-9@$!|+(<€£#%&*][^\w\s]*[^\W\d_]|[^\W\d_][._~^-]+[^\W\d_]|([^\W\d_])\1\1")
+GAP = re.compile(r"([ \t._*~-]+)")  #: what SPACED has between its letters
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 STRETCHED = re.compile(r"(.)\1\1")
 #: a mark twice or more at the end of a token is an ornament
 ENDS = re.compile(r"[.,;:]?([^\w\s])\1+[.,;:]?\Z")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ \t._*~-]{1,2}(?:[^\W_]|[@$!|+])){3,}(?!\S)")
 
 
-def squeeze(word: str) -> str:
-    """Stretched letters, three or more in a row, down to one."""
-    return re.sub(r"(.)\1{2,}", r"\1", word)
-
-
 def spaced_words(text: str, restorer: Restorer) -> set[str]:
-    """What runs of single letters may hold: where their words begin is lost, so it is every ending."""
+    """The words that runs of single letters hold. The pattern only finds the runs; the lattice restores their letters and says where words end.
+
+    A word that the model doesn't know may be parted wrongly, so the letters also count from each place on, as far as
+    word beginnings reach (a longer rest is marked as going on), as the lattice reads them and as they are shown.
+    """
     out: set[str] = set()
+    reach = max(PREFIXES)
     for m in SPACED.finditer(text):
-        joined = "".join(restorer.token("".join(re.split(r"[ \t._*~-]+", m[0])))[-1:])
-        out.update(joined[i : i + 40] for i in range(max(0, len(joined) - 2)))
+        closed = {"".join(GAP.split(m[0])[::2])}
+        for keep in (False, True):
+            reading = restorer.decode(m[0], keep, spaced=True)
+            out.update(reading.split())
+            closed.add(reading.replace(" ", ""))
+        for letters in closed:
+            out.update(letters[i : i + reach] + "…" * (i + reach < len(letters)) for i in range(max(0, len(letters) - 2)))
     return out
 
 

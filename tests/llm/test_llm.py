@@ -165,9 +165,47 @@ def test_restorer_sees_through_disguise():
     for shown, word in [("m0r0n", "moron"), ("cl0wn", "clown"), ("$tupid", "stupid"), ("stuuuupid", "stupid"), ("tr4sh", "trash"), ("s.t.u.p.i.d", "stupid"), ("d1sgust1ng", "disgusting"), ("1d10t", "idiot")]:
         assert word in r.token(shown), (shown, r.token(shown))
     assert "moron" in toxicity.words_of("what a m o r o n", r)
+    assert "moron" in toxicity.words_of("m 0 r 0 n", r) and "moron" in toxicity.words_of("m o o o r o n", r)
+    assert {"stupid", "loser"} <= toxicity.words_of("s t u p i d  l o s e r", r) | toxicity.words_of("s-t-u-p-1-d l-0-s-e-r", r)
+    assert r.decode("s t u p i d l o s e r", spaced=True).replace(" ", "") == "stupidloser"
+    assert r.decode("stu" + "u" * 100_000 + "pid") == "stupid"
     assert r.token("plain") == ("plain",)
 
 
+@pytest.mark.parametrize("shown", ["m0rn", "a11", "$s5", "o.0m", "mmmo", "m o n", "m  0 n", "i 1 l"])
+def test_decoding_equals_every_path_through_the_lattice(shown):
+    """All readings of each character and gap, enumerated, with the channel and the language model written out again."""
+    texts = ["moron mom loss ass all ill moon in on"] * 5
+    r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(texts, toxicity.symbol_table())))
+    spaced = " " in shown
+    gaps = [len(x) for x in re.findall(" +", shown)]
+    found = []
+
+    def walk(rest, before, a, b, score, out):
+        if not rest:
+            found.append((score + r.model[a][b][0], out))
+            return
+        if m := re.match(" +", rest):
+            wide = len(m[0]) > min(gaps)
+            p = 0.2 if wide else 0.8
+            walk(rest[m.end() :], before, a, b, score + np.log(p), out)
+            if b:
+                walk(rest[m.end() :], before, b, 0, score + np.log(1 - p) + r.model[a][b][0], out + " ")
+            return
+        c, rest = rest[0], rest[1:]
+        can = toxicity.LEET.get(c, "")
+        for x, p in [(c, 0.9)] * c.isalpha() + [(x, 0.7 / len(can)) for x in can]:
+            s = r.symbol(x)
+            walk(rest, c, b, s, score + np.log(p) + r.model[a][b][s], out + x)
+        if c == before and b:
+            walk(rest, c, a, b, score + np.log(0.3), out)
+        elif not c.isalpha():
+            walk(rest, c, a, b, score + np.log(0.0005 if can else 0.05), out)
+
+    walk(shown, "", 0, 0, 0.0, "")
+    assert r.decode(shown, spaced=spaced) == max(found)[1]
+
+
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_scores_on_odd_tables(spark, score):
     df = odd_docs(spark)
