@@ -139,6 +139,29 @@ def test_quality_on_held_out_labels(labelled):
     assert auc(got["quality"], got["p"]) > 0.9
 
 
+def test_quality_scores_equal_sizes_and_calibration_written_out(labelled):
+    """The fit doesn't depend on partitions, and each score follows from the sizes of its blocks under both dictionaries."""
+    import zstandard
+
+    docs, labels = labelled
+    docs = docs.where("doc_id < 400")
+    fitted, again = (quality.fit(docs.repartition(n), labels) for n in (2, 7))
+    assert fitted[:2] == again[:2] and np.allclose(fitted[2][2], again[2][2])
+    good, bad, (mean, scale, w), _ = fitted
+    odd = docs.sparkSession.createDataFrame([(-1, ""), (-2, None), (-3, "\u00e9" * 5000)], "doc_id long, text string")
+    rows = quality.score(docs.select("doc_id", "text").union(odd), fitted, name="p").collect()
+    for r in rows:
+        data = (r.text or "").encode()
+        size = {}
+        for kind, d in (("good", good), ("bad", bad)):
+            z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[kind] = sum(len(z.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+        d, g = (size["bad"] - size["good"]) / max(1, *size.values()), size["good"] / max(1, len(data))
+        z = w[0] + sum(w[1 + i] * (x - mean[i]) / scale[i] for i, x in enumerate((d, g, d * d, g * g, d * g)))
+        assert abs(r.p - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    assert len(rows) > 100
+
+
 def test_toxicity_on_held_out_labels(labelled):
     docs, labels = labelled
     got = toxicity.score_toxicity(docs, labels, name="p").join(labels, "doc_id").toPandas()
