@@ -81,10 +81,20 @@ def reached(edges: DataFrame, start: DataFrame, keys: list[str] = ()) -> DataFra
 
 
 def back_to_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, source, depth: the nearest source upstream of each node, ties by name."""
-    back = reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes.select(F.col("node").alias("origin"), "node"))
-    hit = back.join(sources.select(F.col("node")), "node")
-    return hit.groupBy("origin").agg(F.min(F.struct("depth", F.col("node").alias("source"))).alias("x")).select(F.col("origin").alias("node"), "x.source", "x.depth")
+    """node, source, depth: the nearest source upstream of each node, ties by name.
+
+    All sources spread along the edges at once, and a node keeps the first that comes to it: of those that come in the same round the smallest. A round holds
+    new nodes only, so that the work grows with the edges, not with the nodes times what lies upstream of them.
+    """
+    edges = settle(edges.select("src", "dst").distinct())
+    seen = fresh = settle(sources.select("node").where("node is not null").distinct().select("node", F.col("node").alias("source"), F.lit(0).alias("depth")))
+    depth = 0
+    while fresh.limit(1).count():
+        depth += 1
+        came = fresh.join(edges, fresh["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("source").alias("source"))
+        fresh = settle(came.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(fresh)
+    return nodes.select("node").distinct().join(seen, "node").select("node", "source", "depth")
 
 
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:

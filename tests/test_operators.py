@@ -178,6 +178,37 @@ def test_paths_equal_depth_first_search(spark):
     assert all(r.is_sanitised == ("n3" in r.path[1:-1]) for r in marked.collect())
 
 
+def test_nearest_source_by_breadth_first_search(spark):
+    rng = random.Random(5)
+    es = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(80)})
+    sources, nodes = {0, 1, 2, 11, 30}, {*range(0, 60, 2), 99, 1}
+    into = defaultdict(set)
+    for a, b in es:
+        into[b].add(a)
+    want = []
+    for n in nodes:
+        seen, layer, depth = {n}, {n}, 0
+        while layer and not layer & sources:
+            layer = {a for b in layer for a in into[b]} - seen
+            seen, depth = seen | layer, depth + 1
+        if layer:
+            want.append((n, min(layer & sources), depth))
+    one = lambda x: frame(spark, [(n,) for n in [*x, *list(x)[:2], None]], "node int")
+    got = graph.back_to_source(frame(spark, [*es, *es[:3], (None, 2)], "src int, dst int"), one(nodes), one(sources))
+    assert rows_of(got, "node", "source", "depth") == sorted(want, key=str)
+
+
+def test_nearest_source_keeps_as_many_rows_as_there_are_nodes(spark, monkeypatch):
+    n, held, settle = 200, [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: held.append(out := settle(df)) or out)
+    # all sinks lead back to the hub that all of them come from
+    es = [("hub", f"s{i}") for i in range(n)] + [(f"s{i}", "hub") for i in range(n)] + [("c", "hub")]
+    one = lambda x: frame(spark, [(v,) for v in x], "node string")
+    got = graph.back_to_source(frame(spark, es, "src string, dst string"), one([f"s{i}" for i in range(n)]), one(["c"]))
+    assert rows_of(got, "source", "depth") == [("c", 2)] * n
+    assert max(df.count() for df in held) <= len(es)
+
+
 def test_dominators_by_removal(spark):
     rng = random.Random(4)
     es = sorted({(i, rng.randrange(i + 1, 9)) for i in range(8) for _ in range(2)} | {(6, 2)})
