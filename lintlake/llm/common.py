@@ -44,12 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as Parquet into the shared folder and read again: its lineage ends there and lost executors cost nothing."""
+def materialise(df: DataFrame, name: str = "step", files: int | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: its lineage ends there and lost executors cost nothing.
+
+    files: at most so many. Small tables out of many partitions cost more in files than in rows; each file starts several processes on a local disk.
+    """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -39,6 +39,7 @@ BLOCK_NODES, BLOCK_HASHES = 1024, 1_000_000  #: of a class, that meet others at
 OFTEN = 64  #: pairs of nodes that share a hash, from which on it is compared as a matrix
 LEAF = 48
 CELLS = 16
+FILE_ROWS = 2_000  #: documents, or edges of a round of label propagation, to a file of what is written, where shuffles have more partitions
 BROADCAST_ROWS = 400_000  #: keys of 8 bytes that may be sent to every executor; beyond that, rows are shuffled
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -254,10 +255,10 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int = PERCENT) ->
     return 100 * both >= percent * union
 
 
-def link_counts(classes: DataFrame, sets: DataFrame, percent: int, block_nodes: int, block_hashes: int) -> DataFrame:
+def link_counts(classes: DataFrame, sets: DataFrame, percent: int, block_nodes: int, block_hashes: int, files: int | None = None) -> DataFrame:
     """(node, links): to how many rows of other sets each node is linked, for nodes of classes (node, label, n, n_copies) with more than one node."""
     per = classes.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.sum("n_copies").alias("rows")).where("c > 1")
-    per = materialise(per.withColumn("blocks", F.greatest(F.ceil(F.col("c") / block_nodes), F.ceil(F.col("w") / block_hashes)).cast("int")), "class-blocks")
+    per = materialise(per.withColumn("blocks", F.greatest(F.ceil(F.col("c") / block_nodes), F.ceil(F.col("w") / block_hashes)).cast("int")), "class-blocks", files)
     mine = classes.join(per, "label")
     pairs = mine.where("c = 2").select("node", (F.col("rows") - F.col("n_copies")).alias("links"))  # two nodes of a class are linked
     mine = mine.where("c > 2").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
@@ -281,21 +282,26 @@ def link_counts(classes: DataFrame, sets: DataFrame, percent: int, block_nodes:
                 yield pd.DataFrame({"node": b["node"], "links": yes.T @ a["n_copies"].to_numpy()})
 
     counted = dealt.select(*keys, "node", "n_copies", "own", "hashes").repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(count, "node long, links long")
-    out = materialise(counted.unionByName(pairs).groupBy("node").agg(F.sum("links").alias("links")), "class-links")
+    out = materialise(counted.unionByName(pairs).groupBy("node").agg(F.sum("links").alias("links")), "class-links", files)
     drop(per)
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of links (a, b): label is the smallest node of the class."""
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, label) for the nodes of links (a, b): label is the smallest node of the class.
+
+    Rounds are many and their tables small: they are written in parts of about FILE_ROWS, however many partitions shuffles have.
+    """
     both = links.where("a <> b").select("a", "b")
-    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", files)
+    files = 1 + both.count() // FILE_ROWS
+    step = lambda df: materialise(df, "labels", files)
+    labels = step(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         low = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
-        new = materialise(labels.join(low, labels.node == low.a).select("node", "label", F.least("label", "low").alias("new")), "labels")
+        new = step(labels.join(low, labels.node == low.a).select("node", "label", F.least("label", "low").alias("new")))
         jump = new.select(F.col("node").alias("at"), F.col("new").alias("far"))
-        far = materialise(new.join(jump, new.new == jump["at"]).select("node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "labels")
+        far = step(new.join(jump, new.new == jump["at"]).select("node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")))
         drop(labels, new)
         labels = far
         if not far.where("moved").limit(1).count():
@@ -316,32 +322,34 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     component null. Without ``count_links`` n_links counts equal sets alone. Repeated rows come back as often as they came. An empty table gives no rows. Other columns are not read.
     """
     named = materialise(_hash_sets(docs, key, text, words, percent, "name"), "sets")
+    files = 1 + named.count() // FILE_ROWS
+    keep = lambda df, name: materialise(df, name, files)
     first = _hash_sets(docs, key, text, words, percent, "prefix").where("n > 0").groupBy("name").agg(F.min("k").alias("doc"), F.max("n").alias("n"), F.min("prefix").alias("prefix"), F.count(F.lit(1)).alias("n_copies"))
-    nodes = materialise(first.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once and for all
+    nodes = keep(first.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once and for all
     spare = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
     extra = F.greatest(F.lit(1), F.floor((spare + 2) / 3))
     hashes = nodes.select("node", F.explode("prefix").alias("h"))
-    shared = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    shared = keep(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     met = hashes.join(shared.hint("merge"), "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
     sizes = nodes.select("node", "n", extra.cast("int").alias("extra"))
     keys = met.join(sizes, "node").where(F.size("met") >= F.col("extra")).select("node", "n", F.explode(F.slice("met", F.lit(1), F.size("met") - F.col("extra") + 1)).alias("m")).select("node", "n", F.col("m.h").alias("h"))
-    keys = materialise(keys, "keys")
+    keys = keep(keys, "keys")
     drop(shared)
-    pivots = materialise(keys.groupBy("h").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "pivot"), "pivots")
-    met = members = materialise(keys.join(pivots.hint("merge"), "h").select("pivot", "node", "n").distinct(), "members")
+    pivots = keep(keys.groupBy("h").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "pivot"), "pivots")
+    met = members = keep(keys.join(pivots.hint("merge"), "h").select("pivot", "node", "n").distinct(), "members")
     # nodes once under a pivot of its own are done
     regions = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where("c > 1")
     parts = lambda c, w, by: F.greatest(F.ceil(F.col(c) / (chunk_nodes * by)), F.ceil(F.col(w) / (chunk_hashes * by)), F.lit(1)).cast("int")
-    regions = materialise(regions.select("pivot", parts("c", "w", 1).alias("chunks"), parts("c", "w", ACROSS).alias("wide")), "regions")
+    regions = keep(regions.select("pivot", parts("c", "w", 1).alias("chunks"), parts("c", "w", ACROSS).alias("wide")), "regions")
     members = members.join(regions.select("pivot", "chunks"), "pivot")
     last = F.col("chunks") - 1
     dealt = members.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))))
-    dealt = materialise(dealt.select("pivot", "node", "chunk", "chunks"), "dealt")
+    dealt = keep(dealt.select("pivot", "node", "chunk", "chunks"), "dealt")
     drop(keys, pivots, met)
-    used = materialise(dealt.select("node").distinct().join(nodes.select("node", "name", "doc"), "node").select("node", "name", "doc"), "used")
+    used = keep(dealt.select("node").distinct().join(nodes.select("node", "name", "doc"), "node").select("node", "name", "doc"), "used")
     n_used = used.count()
     texts = _pick(docs.select(F.col(key).alias("doc"), F.col(text).alias("t")), used.where("doc is not null"), "doc", n_used)
-    sets = materialise(_sets_of(texts, words), "hashes")
+    sets = keep(_sets_of(texts, words), "hashes")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in in_groups(batches, ["pivot", "chunk"]):
@@ -358,40 +366,40 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                 yield pd.DataFrame({"pivot": g["pivot"].to_numpy(), "a": ids, "b": ids, "d": d})
 
     filled = dealt.hint("merge").join(sets, "node")
-    found = materialise(filled.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "node").mapInPandas(solve, "pivot long, a long, b long, d double"), "links")
+    found = keep(filled.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "node").mapInPandas(solve, "pivot long, a long, b long, d double"), "links")
     drop(dealt)
     links = found.where("pivot = -1").select("a", "b")
-    large = materialise(found.where("pivot <> -1").select("pivot", F.col("a").alias("node"), "d").dropDuplicates(["pivot", "node"]), "large")
+    large = keep(found.where("pivot <> -1").select("pivot", F.col("a").alias("node"), "d").dropDuplicates(["pivot", "node"]), "large")
     if large.limit(1).count():
-        links = links.unionByName(_across(large, sets, components(links), regions.select("pivot", F.col("wide").alias("chunks")), nodes.select("node", "n"), lambda: parts("c", "w", ACROSS / 2), percent))
-    labels = components(links)
+        links = links.unionByName(_across(large, sets, components(links, files), regions.select("pivot", F.col("wide").alias("chunks")), nodes.select("node", "n"), lambda: parts("c", "w", ACROSS / 2), percent, files))
+    labels = components(links, files)
     classes = nodes.select("node", "name", "doc", "n", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = materialise(classes, "classes")
+    classes = keep(classes, "classes")
     least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
     by_name, counted = classes.join(least, "label").withColumn("links", F.lit(0).cast("long")), []
     if count_links:
-        counted = [link_counts(classes.select("node", "label", "n", "n_copies"), sets, percent, block_nodes, block_hashes)]
+        counted = [link_counts(classes.select("node", "label", "n", "n_copies"), sets, percent, block_nodes, block_hashes, files)]
         by_name = by_name.drop("links").join(counted[0], "node", "left")
-    by_name = materialise(by_name.select("name", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "by-name")
+    by_name = keep(by_name.select("name", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "by-name")
     drop(sets, nodes, used, regions, found, large, classes, *counted)
     out = named.join(by_name, "name", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, sizes: DataFrame, blocks_of, percent: int) -> DataFrame:
+def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataFrame, sizes: DataFrame, blocks_of, percent: int, files: int | None = None) -> DataFrame:
     """Links between the chunks of large regions that labels do not know yet.
 
     Of a region, what isn't in the class of most of its nodes is compared with everything, in blocks against chunks; of a pair in
     a task, the triangle inequality at the pivot decides first whether it needs looking at.
     """
     known = large.join(labels, "node", "left").join(sizes, "node").withColumn("label", F.coalesce("label", "node"))
-    known = materialise(known.select("pivot", "node", "d", "n", "label"), "known")
+    known = materialise(known.select("pivot", "node", "d", "n", "label"), "known", files)
     bulk = known.groupBy("pivot", "label").count().groupBy("pivot").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"), F.count(F.lit(1)).alias("labels"))
-    open_ = materialise(bulk.where("labels > 1").join(regions, "pivot"), "open")
+    open_ = materialise(bulk.where("labels > 1").join(regions, "pivot"), "open", files)
     rows = known.join(open_, "pivot")
     outside = rows.where("label <> bulk")
     blocks = outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).select("pivot", blocks_of().alias("blocks"))
-    blocks = materialise(blocks, "blocks")
+    blocks = materialise(blocks, "blocks", files)
     left = outside.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("outside", F.lit(True))
     right = rows.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")).withColumn("outside", F.lit(False))
     names = ["pivot", "chunk", "block", "node", "label", "d", "outside"]
@@ -416,4 +424,4 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, regions: DataF
                 a, b = np.array(j.links).T
                 yield pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return materialise(both.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(solve, "a long, b long"), "links-across")
+    return materialise(both.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(solve, "a long, b long"), "links-across", files)

@@ -90,6 +90,23 @@ def test_linked_equals_counting():
     assert (jaccard_join.linked(sets[:25], sets[25:], 80) == np.array(want)).all() and np.any(want)
 
 
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    made, materialise = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda *a: made.append(out := materialise(*a)) or made.append(len(out.inputFiles())) or out)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("23", "false"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        texts = near_copies()
+        got = jaccard_join.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert max(made[1::2]) == 1
+    assert sorted(map(tuple, got)) == sorted(brute_classes(texts))
+
+
 def test_jaccard_on_odd_tables(spark):
     df = odd_docs(spark)
     got = sorted(map(tuple, jaccard_join.jaccard_classes(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
