@@ -44,26 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def materialise(df: DataFrame, name: str = "step", files: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", files: int | None = None, by: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again: its lineage ends there and lost executors cost nothing.
 
     files: at most so many. Small tables out of many partitions cost more in files than in rows; each file starts several processes on a local disk.
+    by: a column whose values have files of their own, so that one of them is read without the others.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def kept(df: DataFrame, of: DataFrame) -> DataFrame:
-    """df, which reads the files of the table ``of`` and goes with them."""
-    df.written_to = of.written_to
-    return df
-
-
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables from materialise(), which nothing that is still to run may read."""
     for df in tables:

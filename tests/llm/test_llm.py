@@ -618,6 +618,53 @@ def test_descriptors_under_hot_keys_meet_as_in_one_group(spark):
             assert len(seen) == 6, chunk
 
 
+@pytest.mark.parametrize("at_once,most", [(media.AT_ONCE, media.MOST), (50, 20)])
+def test_all_near_descriptors_match_each_with_each(at_once, most, monkeypatch):
+    """Against all pairs, over all tables, whole and in parts of large images: no partner of a descriptor is left out."""
+    monkeypatch.setattr(media, "AT_ONCE", at_once)
+    monkeypatch.setattr(media, "MOST", most)
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, (4, 4))
+    words = base[rng.integers(0, 4, 120)]
+    for row in words:
+        for bit in rng.choice(256, rng.integers(0, 25), replace=False):
+            row[bit // 64] ^= np.int64(-(1 << 63) if bit % 64 == 0 else 1 << (63 - bit % 64))
+    corners = media.Corners(np.arange(12), np.full(12, 10), np.column_stack([np.zeros(120, np.int64), words]))
+    got = sorted((int(i), int(j)) for x in media.near(corners, corners, [corners.table(t) for t in range(media.TABLES)]) for i, j in zip(*x, strict=True))
+    bits = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(120, 32), axis=1)
+    keys = bits[:, : media.TABLES * media.KEY_BITS].reshape(120, media.TABLES, media.KEY_BITS)
+    want = [(i, j) for i in range(120) for j in range(120) if (bits[i] != bits[j]).sum() <= media.NEAR and (keys[i] == keys[j]).all(1).any()]
+    assert got == want and len(want) > 1000
+
+
+def test_descriptors_with_several_near_ones_match_all_of_them(spark):
+    base = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 4)
+    corners = spark.createDataFrame([(i, 0, int(base[0]), int(base[1]), int(base[2]), int(base[3]) ^ (1 << i)) for i in range(8)], "id long, c int, t0 long, t1 long, t2 long, t3 long")
+    for chunk in (4096, 3):
+        assert sorted((r.id, r.pivot) for r in media.matched(corners, 0, chunk).collect()) == [(i, j) for i in range(8) for j in range(i)]
+
+
+def test_copies_in_blocks_equal_those_in_one(spark, monkeypatch):
+    vec = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(16).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    images = media.materialise(media.rendered(vec))
+    got = []
+    for chunk in (media.CHUNK, 12):
+        monkeypatch.setattr(media, "CHUNK", chunk)
+        got.append(sorted(map(tuple, media.copy_classes(images).collect())))
+    assert got[0] == got[1] and sum(c != k for k, _, c in got[0]) == 4
+
+
+def test_agreeing_corners_of_different_images_are_no_copy():
+    """Corners may agree by chance; the pixels then don't."""
+    rng = np.random.default_rng(2)
+    a, b = (media._box(media._box(rng.uniform(0, 255, (64, 64)), 2), 1) for _ in range(2))
+    at = np.array([12 + 9j, 40 + 15j, 20 + 44j, 50 + 50j, 33 + 30j])
+    assert not media.alike(a, b, at, at)
+    painted = a * 0.7 + 30
+    painted[20:36, 20:36] = 250
+    assert media.alike(a, painted, at, at) and media.alike(a, a[5:, 3:], at, at - 3 - 5j) and media.alike(np.rot90(a), a, 1j * (63 - at.real) + at.imag, at)
+
+
 def test_copies_with_repeated_keys_are_one_image(spark):
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 256, 64 * 64).astype(np.uint8).tobytes() for _ in range(2))
