@@ -156,13 +156,12 @@ def hidden(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarray) -> tuple
     return c, e, np.tanh(e @ p["into"] + p["bias"])
 
 
-def exponentials(h: np.ndarray, out: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits, their exponentials, the sums of those)"""
-    z = h @ out
-    z += rest
-    np.clip(z, -80, 80, out=z)
-    e = np.exp(z)
-    return z, e, e.sum(1)
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """The sums of the logits' exponentials, which take their place."""
+    np.minimum(z, 80, out=z)
+    np.maximum(z, -80, out=z)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -172,33 +171,46 @@ def by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(g, slice(lo, hi)) for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)) if hi > lo]
 
 
+def member_logits(p: dict[str, np.ndarray], hs: np.ndarray, places: list[tuple[int, slice]], z: np.ndarray) -> None:
+    """Of the members of each position's group, into z."""
+    for q, s in places:
+        np.matmul(hs[s], p["member"][q], out=z[s])
+        z[s] += p["member_rest"][q]
+
+
 def gradient(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the positions."""
     n, rows = len(at), np.arange(len(at))
     group, member = np.divmod(whole[at].astype(np.int64) - 1, MEMBERS)
     c, e, h = hidden(p, whole, at)
-    _, dz, total = exponentials(h, p["group"], p["group_rest"])
-    dz /= total[:, None]
+    ones = np.ones(n, np.float32)
+    dz = h @ p["group"]
+    dz += p["group_rest"]
+    dz /= exponentials(dz)[:, None]
     dz[rows, group] -= 1
-    g = {"group": h.T @ dz, "group_rest": dz.sum(0), "member": np.zeros_like(p["member"]), "member_rest": np.zeros_like(p["member_rest"])}
+    g = {"group": h.T @ dz, "group_rest": ones @ dz, "member": np.zeros_like(p["member"]), "member_rest": np.zeros_like(p["member_rest"])}
     dh = dz @ p["group"].T
     order, places = by_group(group)
-    hs, ms, ds = h[order], member[order], np.empty_like(h)
+    hs, ds = h.take(order, axis=0), np.empty_like(h)
+    member_logits(p, hs, places, dz)
+    dz /= exponentials(dz)[:, None]
+    dz[rows, member.take(order)] -= 1
     for q, s in places:
-        _, dz, total = exponentials(hs[s], p["member"][q], p["member_rest"][q])
-        dz /= total[:, None]
-        dz[rows[: len(dz)], ms[s]] -= 1
-        g["member"][q], g["member_rest"][q] = hs[s].T @ dz, dz.sum(0)
-        ds[s] = dz @ p["member"][q].T
-    dh[order] += ds
-    dh *= 1 - h * h
-    g["bias"], g["into"] = dh.sum(0), e.T @ dh
+        np.matmul(hs[s].T, dz[s], out=g["member"][q])
+        np.matmul(ones[s], dz[s], out=g["member_rest"][q])
+        np.matmul(dz[s], p["member"][q].T, out=ds[s])
+    back = np.empty_like(order)
+    back[order] = rows
+    dh += ds.take(back, axis=0)
+    h *= h
+    dh *= np.subtract(1, h, out=h)
+    g["bias"], g["into"] = ones @ dh, e.T @ dh
     de, c = (dh @ p["into"].T).reshape(-1, EMBED), c.ravel()
     order = np.argsort(c, kind="stable")
-    c = c[order]
+    c = c.take(order)
     first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][c[first]] = np.add.reduceat(de[order], first, axis=0)
+    g["embed"][c[first]] = np.add.reduceat(de.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)  # two numbers at a time
     return {k: x / n for k, x in g.items()}
 
 
@@ -227,13 +239,14 @@ def log_probabilities(p: dict[str, np.ndarray], whole: np.ndarray, at: np.ndarra
         rows = np.arange(len(a))
         group, member = np.divmod(whole[a].astype(np.int64) - 1, MEMBERS)
         h = hidden(p, whole, a)[2]
-        z, _, total = exponentials(h, p["group"], p["group_rest"])
-        got = z[rows, group] - np.log(total)
+        z = h @ p["group"]
+        z += p["group_rest"]
+        got = np.clip(z[rows, group], -80, 80)
+        got -= np.log(exponentials(z))
         order, places = by_group(group)
-        hs, ms, more = h[order], member[order], np.empty(len(a), np.float32)
-        for q, s in places:
-            z, _, total = exponentials(hs[s], p["member"][q], p["member_rest"][q])
-            more[s] = z[rows[: len(z)], ms[s]] - np.log(total)
+        member_logits(p, h.take(order, axis=0), places, z)
+        more = np.clip(z[rows, member.take(order)], -80, 80)
+        more -= np.log(exponentials(z))
         got[order] += more
         out[lo : lo + AT_ONCE] = got
     return out

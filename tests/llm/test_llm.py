@@ -776,6 +776,13 @@ def test_language_model_gradient_is_the_slope_of_the_loss():
             assert abs((up - down) / 0.02 - g[k][i]) < 0.02 * abs(g[k][i]) + 2e-3, (k, i)
 
 
+def test_language_model_exponentials_take_the_logits_place():
+    z = np.array([[0, 1, -200], [300, 2, 3]], np.float32)
+    want = np.exp(np.clip(z, -80, 80))
+    total = lm_score.exponentials(z)
+    assert np.allclose(z, want) and np.allclose(total, want.sum(1)) and np.isfinite(total).all()
+
+
 def test_language_model_deals_every_position_once(spark):
     texts = ["a b c d e f g", "", "a a", None, "a b c d e f g"]
     docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
